@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .simhash import op6_simhash_covering
+from .toxicity import op10_toxicity_nnpu
+from .winnow import op8_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_covering": op6_simhash_covering,
+    "op8_winnowing": op8_winnowing,
+    "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
 ORACLES: dict[str, str] = {}
