@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -126,15 +125,15 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def _sweep(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for members in pdf["fps"]:
-                a, b = bucket_links(np.asarray(members, dtype=np.int64).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                a, b = bucket_links(members.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 if len(a):
-                    yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     held = rows.groupBy("v", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return held.mapInPandas(run, "a long, b long")
+    return held.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
