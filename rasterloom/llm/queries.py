@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_best_fit_packing
 from .simhash import op6_simhash_covering
+from .token_counts import op9_token_counts
+from .token_files import op2_bit_packed_ids
 from .toxicity import op10_toxicity_nnpu
 from .winnow import op8_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bit_packed_ids": op2_bit_packed_ids,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_covering": op6_simhash_covering,
     "op8_winnowing": op8_winnowing,
+    "op9_token_counts": op9_token_counts,
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 

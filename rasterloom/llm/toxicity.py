@@ -21,8 +21,8 @@ from .common import documents, mix64, text_bytes
 from .words import chunks, split_words
 
 #: Training sample: at most so many positives and unlabelled documents, lowest hash of doc_id first.
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 8000
+MAX_POSITIVE = 3000
+MAX_UNLABELLED = 5000
 FOLDS = 5
 BITS = 18
 #: Word beginnings, in bytes, that are features besides whole words.
@@ -68,20 +68,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
     """Fits the classifier to ``(positive, features as little-endian int32)`` rows by Adam on the whole sample."""
     weights = np.zeros(1 << BITS)
-    held = [np.unique(np.frombuffer(f, dtype="<i4"), return_counts=True) for _, f in rows]
     positive = np.array([p for p, _ in rows], dtype=bool)
     if not positive.any() or positive.all() or not 0 < prior < 1:
         return Model(weights.astype(np.float32), -np.inf if not positive.any() else np.inf)
-    row_of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in held])
+    # A feature that few positives have says nothing; dropping it keeps the matrix small.
+    frequent = np.zeros(1 << BITS, dtype=np.int64)
+    for is_positive, f in rows:
+        if is_positive:
+            frequent[np.unique(np.frombuffer(f, dtype="<i4"))] += 1
+    common = frequent >= max(3, positive.sum() // 200)
+    held, totals = [], np.ones(len(rows))
+    for i, (_, f) in enumerate(rows):
+        found = np.frombuffer(f, dtype="<i4")
+        totals[i] = max(1, len(found))
+        name, count = np.unique(found[common[found]], return_counts=True)
+        held.append((name, count.astype(np.float32)))
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in held])
     columns = np.concatenate([f for f, _ in held])
     counts = np.concatenate([c for _, c in held])
-    totals = np.bincount(row_of, counts, minlength=len(rows))
-    # A feature that few positives have says nothing; dropping it keeps the matrix small.
-    common = np.bincount(columns[positive[row_of]], minlength=1 << BITS) >= max(3, positive.sum() // 200)
-    use = common[columns]
-    columns, row_of, counts = columns[use], row_of[use], counts[use]
+    held.clear()
     names, columns = np.unique(columns, return_inverse=True)
-    by_row = Ragged(row_of, columns, counts / np.sqrt(totals[row_of]), len(rows))
+    by_row = Ragged(row_of, columns.astype(np.int32), counts / np.sqrt(totals, dtype=np.float32)[row_of], len(rows))
     by_name = by_row.transposed(len(names))
     n_p, n_u = positive.sum(), (~positive).sum()
     w, b = np.zeros(len(names)), 0.0
@@ -116,7 +123,7 @@ class Ragged:
     def times(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n_rows)
         if len(self.starts):
-            out[self.rows] = np.add.reduceat(self.values * x[self.columns], self.starts)
+            out[self.rows] = np.add.reduceat(self.values * x.astype(np.float32)[self.columns], self.starts)
         return out
 
     def transposed(self, n_rows: int) -> Ragged:
