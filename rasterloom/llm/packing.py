@@ -35,9 +35,9 @@ from .tokens import portions, word_encoder
 
 SEQUENCE = 4096
 END_ID = 1
-#: Lengths above this share of a sequence are large.
-LARGE = 1 / 8
-GROUPS = 32
+#: A plan is made for each share of a sequence above which lengths are large, and each number of groups; the shortest counts.
+LARGE = (1 / 8, 1 / 4, 1 / 3, 1 / 2)
+GROUPS = (8, 16, 32)
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -193,14 +193,31 @@ def best_fit(runs: list[Run], small: dict[int, int], room: int) -> list[Run]:
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[Run]:
-    """Runs of sequences that hold exactly the pieces of ``histogram``."""
+    """Runs of sequences that hold exactly the pieces of ``histogram``: the fewest over the settings tried."""
     whole = Run(histogram.get(size, 0), [(size, 1)])
-    large = {x: n for x, n in histogram.items() if LARGE * size < x < size}
-    small = {x: n for x, n in histogram.items() if x <= LARGE * size}
-    grouped = groups_of(large, GROUPS)
+    rest = {x: n for x, n in histogram.items() if x < size}
+    least = -(-sum(x * n for x, n in rest.items()) // size)
+    best: list[Run] | None = None
+    for share in LARGE:
+        for groups in GROUPS:
+            runs = grouped_plan(rest, size, share, groups)
+            if best is None or sequences(runs) < sequences(best):
+                best = runs
+            if sequences(best) == least:
+                break
+    return ([whole] if whole.n else []) + (best or [])
+
+
+def sequences(runs: list[Run]) -> int:
+    return sum(r.n for r in runs)
+
+
+def grouped_plan(histogram: dict[int, int], size: int, share: float, groups: int) -> list[Run]:
+    large = {x: n for x, n in histogram.items() if x > share * size}
+    small = {x: n for x, n in histogram.items() if x <= share * size}
+    grouped = groups_of(large, groups)
     sizes, counts = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
-    runs = substituted(grouped, configurations(sizes, counts, size), size)
-    return ([whole] if whole.n else []) + best_fit(runs, small, size)
+    return best_fit(substituted(grouped, configurations(sizes, counts, size), size), small, size)
 
 
 @dataclass
