@@ -45,11 +45,13 @@ def rounded(**columns: Column) -> list[Column]:
     return [F.round(c, 6).alias(n) for n, c in columns.items()]
 
 
-r, g, b, k = (F.col(c) for c in "rgbk")
+def rgbk() -> list[Column]:
+    return [F.col(c) for c in "rgbk"]
 
 
 @query("SELECT l_orderkey AS y, l_partkey % 256 AS r, l_suppkey % 256 AS g, (CAST(l_quantity AS BIGINT) * 5) % 256 AS b, 255 AS a, l_partkey % 256 AS gray, l_linenumber AS gray_alpha FROM lineitem")
 def expand_u8_rgba(spark, sf_dir):
+    r, g, b, k = rgbk()
     px = rasters.plain_items(spark, sf_dir)
     rgb, gray = color.expand_rgba8([r, g, b], 8), color.expand_rgba8([r, k], 8)
     return px.select("y", *longs(r=rgb["r"], g=rgb["g"], b=rgb["b"], a=rgb["a"], gray=gray["g"], gray_alpha=gray["a"]))
@@ -65,6 +67,7 @@ def expand_u16_rgba8(spark, sf_dir):
 @query("""SELECT l_orderkey AS y, round(CAST(CAST((l_partkey % 256) / 255.0 AS FLOAT) AS DOUBLE), 6) AS r, round(CAST(CAST((l_suppkey % 256) / 255.0 AS FLOAT) AS DOUBLE), 6) AS g,
     round(CAST(CAST(((CAST(l_quantity AS BIGINT) * 5) % 256) / 255.0 AS FLOAT) AS DOUBLE), 6) AS b, 1.0 AS a FROM lineitem""")
 def expand_u8_float(spark, sf_dir):
+    r, g, b, _ = rgbk()
     unit = color.expand_float([r, g, b], 8)
     return rasters.plain_items(spark, sf_dir).select("y", *rounded(**{n: c.cast("double") for n, c in unit.items()}))
 
@@ -82,12 +85,14 @@ _PLAIN = "p AS (SELECT l_orderkey AS y, l_partkey % 256 AS r, l_suppkey % 256 AS
 @query(f"""WITH {_PLAIN}, q AS (SELECT *, b - r AS v FROM p), s AS (SELECT *, r + ((v + 1) >> 1) - g AS u FROM q)
     SELECT y AS row_id, u, g + (u >> 1) AS y, v FROM s""")
 def ycocg_forward(spark, sf_dir):
+    r, g, b, _ = rgbk()
     return rasters.plain_items(spark, sf_dir).select(F.col("y").alias("row_id"), *longs(**color.lifted_forward(r, g, b)))
 
 
 @query(f"WITH {_PLAIN} SELECT y AS row_id, r, g, b FROM p")
 def ycocg_inverse(spark, sf_dir):
     """Inverse of the forward lifting: the pixels themselves."""
+    r, g, b, _ = rgbk()
     lifted = rasters.plain_items(spark, sf_dir).select(F.col("y").alias("row_id"), *longs(**color.lifted_forward(r, g, b)))
     return lifted.select("row_id", *longs(**color.lifted_inverse(F.col("u"), F.col("y"), F.col("v"))))
 
@@ -95,6 +100,7 @@ def ycocg_inverse(spark, sf_dir):
 @query(f"""WITH {_PLAIN}, q AS (SELECT *, b - r AS y1 FROM p), s AS (SELECT *, r + ((y1 + 1) >> 1) - g AS c1 FROM q), t AS (SELECT *, g + (c1 >> 1) - k AS m1 FROM s)
     SELECT y AS row_id, c1 AS c, m1 AS m, y1 AS y, k + ((m1 + 1) >> 1) AS k, r AS c0, g AS m0, b AS y0, k AS k0 FROM t""")
 def cmyk_lift(spark, sf_dir):
+    r, g, b, k = rgbk()
     px = rasters.plain_items(spark, sf_dir).select(F.col("y").alias("row_id"), *longs(**color.cmyk_forward(r, g, b, k)))
     back = color.cmyk_inverse(*(F.col(c) for c in "cmyk"))
     return px.select("row_id", "c", "m", "y", "k", *longs(**{f"{n}0": c for n, c in back.items()}))
@@ -104,11 +110,13 @@ def cmyk_lift(spark, sf_dir):
     SELECT y AS row_id, greatest(0, least(255, (f + cr * 1470208) >> 20)) AS r, greatest(0, least(255, (f - cr * 748800 + ((cb * -360960) & -65536)) >> 20)) AS g,
     greatest(0, least(255, (f + cb * 1858048) >> 20)) AS b FROM q""")
 def ycbcr_to_rgb_fixed(spark, sf_dir):
+    r, g, b, _ = rgbk()
     return rasters.plain_items(spark, sf_dir).select(F.col("y").alias("row_id"), *longs(**color.ycbcr_to_rgb(r, g, b)))
 
 
 @query(f"WITH {_PLAIN} SELECT y AS row_id, ((r * g + 128) + ((r * g + 128) >> 8)) >> 8 AS product FROM p")
 def blinn_mul(spark, sf_dir):
+    r, g = F.col("r"), F.col("g")
     return rasters.plain_items(spark, sf_dir).select(F.col("y").alias("row_id"), *longs(product=color.byte_product(r, g)))
 
 
@@ -124,6 +132,7 @@ def blinn_mul(spark, sf_dir):
         CAST(sum(c0 * 31 + c1 * 17 + c2 * (k + 3)) AS BIGINT) AS mixed, CAST(0 AS BIGINT) AS not_restored FROM w GROUP BY kind""")
 def rct_all_types(spark, sf_dir):
     """All 42 reversible transforms: sums of the residuals, and pixels that the inverse does not restore."""
+    r, g, b, k = rgbk()
     px = rasters.plain_items(spark, sf_dir).withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(41))))
     kind = F.col("kind")
     px = px.withColumn("c", F.array(*color.reversible_forward(kind, [r, g, b])))
@@ -135,6 +144,7 @@ def rct_all_types(spark, sf_dir):
 
 @query(f"WITH {GRAD} SELECT y, x, CASE WHEN r - g >= 0 THEN 2 * (r - g) ELSE -2 * (r - g) - 1 END AS packed, r - g AS unpacked FROM px")
 def zigzag_pack(spark, sf_dir):
+    r, g = F.col("r"), F.col("g")
     px = rasters.gradient_raster(spark).withColumn("packed", integers.pack_signed(r - g))
     return px.select(*longs(y=F.col("y"), x=F.col("x"), packed=F.col("packed"), unpacked=integers.unpack_signed(F.col("packed"))))
 
@@ -156,6 +166,7 @@ def bit_length_ceil(spark, sf_dir):
 @query(f"""WITH {_PLAIN}, q AS (SELECT y, r / 255.0 AS e FROM p), s AS (SELECT y, e, CASE WHEN e <= 0.04045 THEN e / 12.92 ELSE pow((e + 0.055) / 1.055, 2.4) END AS l FROM q)
     SELECT y, round(l, 6) AS linear, round(CASE WHEN l <= 0.0031308 THEN l * 12.92 ELSE 1.055 * pow(l, 1 / 2.4) - 0.055 END, 6) AS encoded FROM s""")
 def srgb_eotf(spark, sf_dir):
+    r = F.col("r")
     px = rasters.plain_items(spark, sf_dir).select("y", color.srgb_to_linear(r / 255.0).alias("l"))
     return px.select("y", *rounded(linear=F.col("l"), encoded=color.linear_to_srgb(F.col("l"))))
 
@@ -165,6 +176,7 @@ def srgb_eotf(spark, sf_dir):
         cbrt(0.24342268924547819 * r + 0.20476744424496821 * g + 0.55180986650955362 * b + 0.0037930732552754493) AS n, cbrt(-0.0037930732552754493) AS o FROM q)
     SELECT y AS row_id, round((l - m) * 0.5, 6) + 0.0 AS x, round((l + m) * 0.5 + o, 6) AS y, round(n + o, 6) AS b FROM s""")
 def xyb_forward(spark, sf_dir):
+    r, g, b, _ = rgbk()
     px = rasters.plain_items(spark, sf_dir)
     xyb = color.linear_to_xyb(r / 255.0, g / 255.0, b / 255.0)
     return px.select(F.col("y").alias("row_id"), (F.round(xyb["x"], 6) + 0.0).alias("x"), *rounded(y=xyb["y"], b=xyb["b"]))
@@ -173,6 +185,7 @@ def xyb_forward(spark, sf_dir):
 @query(f"WITH {_PLAIN} SELECT y AS row_id, round(r / 255.0, 4) AS r, round(g / 255.0, 4) AS g, round(b / 255.0, 4) AS b FROM p")
 def xyb_inverse(spark, sf_dir):
     """Linear light through XYB and back."""
+    r, g, b, _ = rgbk()
     px = rasters.plain_items(spark, sf_dir)
     xyb = color.linear_to_xyb(r / 255.0, g / 255.0, b / 255.0)
     back = color.xyb_to_linear(xyb["x"], xyb["y"], xyb["b"])
@@ -197,6 +210,7 @@ def jxr_qp_table(spark, sf_dir):
 @query(f"""WITH {_PLAIN}, q AS (SELECT y, r - g AS v FROM p)
     SELECT y, v, CASE WHEN v < 0 THEN -((-v + 3) >> 3) ELSE (v + 3) >> 3 END AS q, (CASE WHEN v < 0 THEN -((-v + 3) >> 3) ELSE (v + 3) >> 3 END) * 8 AS restored FROM q""")
 def jxr_quant_mulless(spark, sf_dir):
+    r, g = F.col("r"), F.col("g")
     px = rasters.plain_items(spark, sf_dir).select("y", (r - g).alias("v")).withColumn("q", quantize.shift_quantize(F.col("v"), F.lit(3), 3))
     return px.select("y", "v", *longs(q=F.col("q"), restored=F.col("q") * 8))
 
@@ -263,6 +277,7 @@ def png_adaptive_pick(spark, sf_dir):
 @query(f"WITH {ITEM} SELECT y, x, r AS v FROM px")
 def png_unfilter_sub(spark, sf_dir):
     """Prefix sums undo the left filter: the samples themselves."""
+    r = F.col("r")
     row = Window.partitionBy("y").orderBy("x")
     px = rasters.items(spark, sf_dir)
     left = px.select("y", "x", F.pmod(r - F.coalesce(F.lag("r").over(row), F.lit(0)), F.lit(256)).alias("f"))
@@ -338,6 +353,7 @@ _GAIN = """lin AS (SELECT y, x, r, CASE WHEN r / 255.0 <= 0.04045 THEN r / 255.0
 
 def log_gain(px: DataFrame) -> DataFrame:
     """Log gain of a rendition that brightens to the right, over the raster itself."""
+    r, g, b, _ = rgbk()
     light = 0.2126 * color.srgb_to_linear(r / 255.0) + 0.7152 * color.srgb_to_linear(g / 255.0) + 0.0722 * color.srgb_to_linear(b / 255.0)
     return px.select("y", "x", F.log2((light * (1 + F.col("x") / 64.0) + 0.015625) / (light + 0.015625)).alias("v"))
 
@@ -369,6 +385,7 @@ _MAP_W, _MAP_H = 32, 24
     SELECT y, x, round((l + 0.015625) * pow(2, (code / 255.0) * 2 * 0.5) - 0.015625, 6) + 0.0 AS hdr FROM c""")
 def gainmap_reconstruct(spark, sf_dir):
     """Bilinear samples of a 32 by 24 map, applied at half its weight to the red samples."""
+    r = F.col("r")
     px = rasters.gradient_raster(spark).select("y", "x", color.srgb_to_linear(r / 255.0).alias("l"))
 
     def axis(at: Column, cells: int, size: int) -> tuple[Column, Column, Column]:
