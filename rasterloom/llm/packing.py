@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged
 from .ordinals import with_ordinals
-from .tokens import portions, word_encoder
+from .tokens import done, portions, word_encoder
 
 SEQUENCE = 4096
 END_ID = 1
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        done(tokenizer, False)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

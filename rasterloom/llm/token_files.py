@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fresh_path, staged
-from .tokens import portions, word_encoder
+from .tokens import done, portions, word_encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
@@ -152,6 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, voca
                         yield flush()
         if names:
             yield flush()
+        done(tokenizer, True)
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(run, "file string, n_docs long, n_ids long"), "token-files")

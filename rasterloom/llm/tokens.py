@@ -9,26 +9,29 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Distinct words that a worker keeps; beyond that it starts anew.
-CACHE = 600_000
+#: Distinct words of a generation; words found in the last two generations need no encoding.
+CACHE = 500_000
 #: Parts longer than this are encoded and not kept.
 KEPT = 48
 _SPACE_PAIR = re.compile(r" \s")
 _INNER_SPACE = re.compile(r"\s \s")
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+").fullmatch
+#: Latin letters and then ASCII signs but the apostrophe: two pre-tokens.
+_ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 class WordEncoder:
     """Encodes texts to ids, four little-endian bytes each.
 
     ``keeps_space`` says that a word's ids depend on the space before it, as in
-    byte-level vocabularies. Special strings in a text are found as the library
-    finds them by default.
+    byte-level vocabularies; else white space and case say nothing. Special
+    strings in a text are found as the library finds them by default.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -40,31 +43,76 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.space = " " if keeps_space else ""
         self.cache: dict[str, bytes] = {}
-        # A control character is no letter, digit or white space, so between spaces it is a token of its own.
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # words at the start of a line
+        self.signs: dict[str, bytes] = {}  # signs after letters
+        # A control character is no letter, digit or white space, so between spaces it is a pre-token of its own.
         self.between = " \x01 "
         stop = np.frombuffer(self.whole([self.space + "\x01"])[0], dtype="<u4")
         self.stop, self.stop_size = int(stop[-1]), len(stop)
+        self.feed_ids = self.whole(["\n"])[0]
+        self.feed = int(np.frombuffer(self.feed_ids, dtype="<u4")[0]) if self.feed_ids else -1
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word and its ids, many words to a call with a stop of one known id between them."""
-        plain = [w for w in words if w and w.isprintable() and len(w) <= KEPT and "<|" not in w]
-        rest = set(words).difference(plain)
-        yield from zip(rest, self.whole([self.space + w for w in rest]), strict=True)
+    def learn(self, words: set[str]) -> None:
+        """Adds ``words`` to the cache; those of several pre-tokens by parts, which repeat more."""
+        cache, older, bare = self.cache, self.older, self.bare
+        if len(bare) > CACHE:
+            bare.clear()
+        ended: list[tuple[str, str, str]] = []
+        lines: list[tuple[str, str, str]] = []
+        alone: set[str] = set()
+        starts: set[str] = set()
+        signs: set[str] = set()
+        stack = list(words)
+        while stack:
+            w = stack.pop()
+            if w in cache or w in alone:
+                continue
+            if w in older:
+                cache[w] = older[w]
+            elif m := _ENDED(w):
+                ended.append((w, m[1], m[2]))
+                signs.add(m[2])
+                stack.append(m[1])
+            elif self.space and (at := w.find("\n", 1)) > 0 and _PLAIN(w[:at]) and _PLAIN(w[at + 1 :]):
+                lines.append((w, w[:at], w[at + 1 :]))
+                starts.add(w[at + 1 :])
+                stack.append(w[:at])
+            else:
+                alone.add(w)
+        plain = [w for w in alone if len(w) <= KEPT and _PLAIN(w) and "<|" not in w]
+        rest = list(alone.difference(plain))
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            cache.update(zip(part, self.whole([self.space + w for w in part]), strict=True))
         for at in range(0, len(plain), 200):
             part = plain[at : at + 200]
-            text = self.space + self.between.join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(ids == self.stop)
-            if len(stops) != len(part) - 1:
-                yield from zip(part, self.whole([self.space + w for w in part]), strict=True)
-                continue
-            raw, width = ids.tobytes(), 4
-            starts = [0, *((stops + 1) * width).tolist()]
-            ends = [*((stops + 1 - self.stop_size) * width).tolist(), len(raw)]
-            yield from ((w, raw[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+            cache.update(self.between_stops(part, self.space + self.between.join(part), self.stop, self.stop_size, self.space))
+        starts.difference_update(bare)
+        plain = [w for w in starts if len(w) <= KEPT and "<|" not in w]
+        rest = list(starts.difference(plain))
+        bare.update(zip(rest, self.whole(rest), strict=True))
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            bare.update(self.between_stops(part, "\n".join(part), self.feed, 1, ""))
+        new_signs = list(signs.difference(self.signs))
+        self.signs.update(zip(new_signs, self.whole(new_signs), strict=True))
+        cache.update([(w, cache[stem] + self.signs[sign]) for w, stem, sign in ended])
+        cache.update([(w, cache[end] + self.feed_ids + bare[start]) for w, end, start in lines])
+
+    def between_stops(self, words: list[str], text: str, stop: int, stop_size: int, space: str) -> Iterable[tuple[str, bytes]]:
+        """Words and their ids from one call; ``text`` has a stop of known ids between them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(ids == stop)
+        if len(stops) != len(words) - 1:
+            return zip(words, self.whole([space + w for w in words]), strict=True)
+        raw = ids.tobytes()
+        starts = [0, *(4 * (stops + 1)).tolist()]
+        ends = [*(4 * (stops + 1 - stop_size)).tolist(), len(raw)]
+        return ((w, raw[i:j]) for w, i, j in zip(words, starts, ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; pass a few MB at once."""
@@ -76,25 +124,40 @@ class WordEncoder:
                 out[i] = self.whole([t])[0]
                 split.append([])
             else:
-                split.append(t.split(" "))
+                split.append((t if self.space else folded(t)).split(" "))
         words = set(chain.from_iterable(p[1:] for p in split) if self.space else chain.from_iterable(split))
         missing = words.difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
             missing = words
-        new = list(missing)
-        self.cache.update(self.each(new))
+        self.learn(missing)
         found = self.cache.__getitem__
         for i, parts in enumerate(split):
             if out[i] is None:
                 head = self.whole([parts[0]])[0] if self.space else found(parts[0])
                 out[i] = b"".join(chain((head,), map(found, parts[1:])))
-        for w in new:
+        for w in missing:
             if len(w) > KEPT:
                 del self.cache[w]
         return out
 
 
+def done(path: str, keeps_space: bool) -> None:
+    """Lets go of the older words at the end of a task; the worker may idle for long."""
+    encoder = word_encoder(path, keeps_space)
+    encoder.older = {}
+    encoder.bare.clear()
+
+
+def folded(text: str) -> str:
+    """``text`` with lower case and line feeds as spaces, if it is of characters whose case is no question of context."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower().replace("\n", " ")
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str, keeps_space: bool) -> WordEncoder:
     """One encoder for each worker process and vocabulary."""
