@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..sources import exr, facade, png, tiff
+from ..sources import exr, facade, jpeg, png, tiff
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,8 @@ def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     def encode(v: np.ndarray) -> bytes:
         if kind == "png":
             return png.write(bytes_of(v)[..., None])
+        if kind == "jpeg":
+            return jpeg.encode(bytes_of(v)[..., None], 95)
         if kind == "tiff":
             return tiff.write([v[..., None]], rows_per_strip=5)
         return exr.write({"Y": v}, exr.ZIP)
@@ -78,6 +80,11 @@ def exr_roundtrip(spark, sf_dir):
     return _sums(encoded(spark, sf_dir, "exr"))
 
 
+def jpeg_roundtrip(spark, sf_dir):
+    """Lossy, so there is no SQL; a test holds the samples against their sources."""
+    return _sums(encoded(spark, sf_dir, "jpeg"))
+
+
 def file_info(spark, sf_dir):
     """Format by native sniffing and the PNG header by native byte expressions, with no decoding."""
     files = encoded(spark, sf_dir, "png").union(encoded(spark, sf_dir, "exr"))
@@ -86,7 +93,7 @@ def file_info(spark, sf_dir):
     return rows
 
 
-QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, file_info)}
+QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, file_info)}
 ORACLES |= {
     "png_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "tiff_roundtrip": _FLOATS,

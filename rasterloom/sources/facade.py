@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
-from . import exr, png, tiff
+from . import exr, gain_map, jpeg, png, tiff
 from .raster import SCHEMA, BadImage, Raster
 
 
@@ -25,14 +25,24 @@ class Decoder:
     name: str
     prefixes: tuple[bytes, ...]
     decode: Callable[[bytes], Raster]
+    also: Callable[[bytes], bool] | None = None  # what the prefixes can't tell
 
     def matches(self, data: bytes) -> bool:
-        return data.startswith(self.prefixes)
+        return data.startswith(self.prefixes) and (self.also is None or self.also(data))
+
+
+def _has_gain_map(data: bytes) -> bool:
+    try:
+        return gain_map.split(data) is not None
+    except BadImage:
+        return False
 
 
 #: In order; the first that matches decodes, and no other is tried if it fails.
 REGISTRY: list[Decoder] = [
     Decoder("png", (png.SIGNATURE,), png.raster),
+    Decoder("gain_map_jpeg", (b"\xff\xd8\xff",), gain_map.raster, _has_gain_map),
+    Decoder("jpeg", (b"\xff\xd8\xff",), jpeg.raster),
     Decoder("tiff", (b"II*\0", b"MM\0*"), tiff.raster),
     Decoder("exr", (exr.MAGIC,), exr.raster),
 ]
@@ -44,9 +54,9 @@ def register(decoder: Decoder) -> None:
 
 
 def sniffed(content: Column) -> Column:
-    """Name of the first registered format whose prefix the bytes have, or null. Native, so filters on it need no decoding."""
+    """Name of the first registered format told by its prefix, or null. Native, so filters on it need no decoding."""
     out = F.lit(None).cast("string")
-    for d in reversed(REGISTRY):
+    for d in reversed([d for d in REGISTRY if d.also is None]):
         hit = F.lit(False)
         for p in d.prefixes:
             hit = hit | F.startswith(content, F.lit(p))
