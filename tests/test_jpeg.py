@@ -8,7 +8,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from rasterloom.sources import exif, facade, gain_map, jpeg, png
+from rasterloom.sources import exif, facade, gain_map, jpeg, lossless_jpeg, png
 from rasterloom.sources.raster import BadImage
 
 # Digests of the files that the established encoder makes of the pattern below.
@@ -228,3 +228,18 @@ def test_gain_map():
     at = data.index(b"MPF\0")
     assert gain_map.split(data[:at] + b"XXX\0" + data[at + 4 :])[1] == gain
     assert gain_map.split(jpeg.encode(sdr)) is None and facade.decode(jpeg.encode(sdr))["format"] == "jpeg"
+
+
+@pytest.mark.parametrize("kind", range(1, 8))
+@pytest.mark.parametrize(("precision", "restart"), [(8, 0), (12, 5), (16, 7)])
+def test_lossless_round_trip(kind, precision, restart):
+    rng = np.random.default_rng(kind)
+    samples = rng.integers(0, 1 << precision, (6, 7, 2)).astype(np.uint16)
+    samples[:3] = samples[:3] // 3
+    back, bits = lossless_jpeg.decode(lossless_jpeg.encode(samples, precision, kind, restart))
+    assert bits == precision and (back == samples).all()
+
+
+def test_lossless_refuses_other_processes():
+    with pytest.raises(BadImage):
+        lossless_jpeg.decode(jpeg.encode(pattern(8, 8, 3)))
