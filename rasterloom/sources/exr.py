@@ -1,4 +1,4 @@
-"""OpenEXR scan-line images with no, run-length or zlib compression."""
+"""OpenEXR scan-line images with no, run-length, zlib or wavelet compression."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from . import piz
 from .raster import LINEAR, BadImage, Color, Raster
 
 MAGIC = b"\x76\x2f\x31\x01"
 # Compression codes with the scan lines of their blocks, and sample types by code.
-NONE, RLE, ZIPS, ZIP = 0, 1, 2, 3
-LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16}
+NONE, RLE, ZIPS, ZIP, PIZ = 0, 1, 2, 3, 4
+LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16, PIZ: 32}
 TYPES = {0: "<u4", 1: "<f2", 2: "<f4"}
 _CODES = {"uint32": 0, "float16": 1, "float32": 2}
 
@@ -90,19 +91,23 @@ def rle_unpack(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def pack_block(raw: bytes, compression: int) -> bytes:
-    """A block, or its raw bytes where packing does not shrink it."""
+def pack_block(raw: bytes, compression: int, shapes: list[tuple[int, int]], lines: int) -> bytes:
+    """A block, or its raw bytes where packing does not shrink it. ``shapes`` are samples a line and 16-bit words a sample of each channel."""
     packed = raw
     if compression == RLE:
         packed = rle_pack(split_delta(raw))
     elif compression in (ZIPS, ZIP):
         packed = zlib.compress(split_delta(raw))
+    elif compression == PIZ:
+        packed = piz.pack(raw, shapes, lines)
     return packed if len(packed) < len(raw) else raw
 
 
-def unpack_block(data: bytes, compression: int, size: int) -> bytes:
+def unpack_block(data: bytes, compression: int, size: int, shapes: list[tuple[int, int]], lines: int) -> bytes:
     if compression == NONE or len(data) == size:
         return data
+    if compression == PIZ:
+        return piz.unpack(data, size, shapes, lines)
     raw = merge_sum(rle_unpack(data, size) if compression == RLE else zlib.decompress(data))
     if len(raw) != size:
         raise BadImage("length of a block")
@@ -143,10 +148,11 @@ def read(data: bytes) -> Exr:
     out = Exr({n: np.zeros((h, w), t) for n, t in listed}, compression, attributes)
     lines = LINES[compression]
     row_bytes = sum(w * t.itemsize for _, t in listed)
+    shapes = [(w, t.itemsize // 2) for _, t in listed]
     for offset in struct.unpack_from(f"<{-(-h // lines)}Q", data, at):
         y, n = struct.unpack_from("<ii", data, offset)
         count = min(lines, h - (y - y0))
-        raw = unpack_block(data[offset + 8 : offset + 8 + n], compression, row_bytes * count)
+        raw = unpack_block(data[offset + 8 : offset + 8 + n], compression, row_bytes * count, shapes, count)
         rows = np.frombuffer(raw, np.uint8).reshape(count, row_bytes)
         left = 0
         for name, t in listed:
@@ -171,9 +177,11 @@ def write(channels: dict[str, np.ndarray], compression: int = ZIP) -> bytes:
         attribute("lineOrder", "lineOrder", b"\0"), attribute("pixelAspectRatio", "float", struct.pack("<f", 1)), attribute("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0)), attribute("screenWindowWidth", "float", struct.pack("<f", 1)),
     ]) + b"\0"
     lines, blocks = LINES[compression], []
+    shapes = [(w, v.dtype.itemsize // 2) for _, v in listed]
     rows = np.concatenate([np.ascontiguousarray(v.astype(v.dtype.newbyteorder("<"))).view(np.uint8).reshape(h, -1) for _, v in listed], axis=1)
     for y in range(0, h, lines):
-        packed = pack_block(rows[y : y + lines].tobytes(), compression)
+        part = rows[y : y + lines]
+        packed = pack_block(part.tobytes(), compression, shapes, len(part))
         blocks.append(struct.pack("<ii", y, len(packed)) + packed)
     at = len(head) + 8 * len(blocks)
     offsets = np.cumsum([at, *(len(b) for b in blocks[:-1])]).astype("<u8").tobytes()

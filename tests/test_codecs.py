@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
 
-from rasterloom.sources import exr, facade, png, tiff
+from rasterloom.sources import exr, facade, piz, png, tiff
 from rasterloom.sources.raster import HLG, PQ, BadImage
 
 small = st.tuples(st.integers(1, 9), st.integers(1, 9), st.integers(1, 4))
@@ -30,7 +30,7 @@ def test_tiff_round_trip(samples, compress):
 
 
 @settings(deadline=None, max_examples=40)
-@given(st.sampled_from([exr.NONE, exr.RLE, exr.ZIPS, exr.ZIP]), st.integers(1, 40), st.integers(1, 20), st.integers(0, 3))
+@given(st.sampled_from([exr.NONE, exr.RLE, exr.ZIPS, exr.ZIP, exr.PIZ]), st.integers(1, 40), st.integers(1, 20), st.integers(0, 3))
 def test_exr_round_trip(compression, h, w, seed):
     rng = np.random.default_rng(seed)
     channels = {"G": rng.normal(size=(h, w)).astype(np.float16), "R": np.zeros((h, w), np.float32), "id": rng.integers(0, 5, (h, w)).astype(np.uint32)}
@@ -117,3 +117,27 @@ def test_data_source(spark, tmp_path):
     assert (rows["a.png"].width, rows["a.png"].channels, rows["a.png"].color.transfer) == (3, 3, 13)
     assert (rows["b.exr"].height, rows["b.exr"].sample_format) == (4, "Float32")
     assert rows["c.txt"].error
+
+
+@pytest.mark.parametrize("top", [100, 60000])
+@pytest.mark.parametrize("shape", [(1, 1), (2, 3), (7, 5), (16, 33), (32, 32)])
+def test_wavelet_inverse(shape, top):
+    plane = np.random.default_rng(top).integers(0, top, shape).astype(np.uint16)
+    assert (piz.wavelet(piz.wavelet(plane, top), top, inverse=True) == plane).all()
+
+
+@pytest.mark.parametrize("kind", ["flat", "runs", "noise", "skew"])
+def test_huffman_round_trip(kind):
+    rng = np.random.default_rng(1)
+    values = {"flat": np.full(700, 5), "runs": np.repeat(rng.integers(0, 60000, 20), 300), "noise": rng.integers(0, 65536, 3000), "skew": (rng.exponential(3, 5000) ** 3).astype(int) % 65536}[kind].astype(np.uint16)
+    packed = piz.huffman_pack(values)
+    assert (piz.huffman_unpack(packed, len(values)) == values).all()
+    if kind in ("flat", "runs"):
+        assert len(packed) < len(values)
+
+
+def test_smooth_images_shrink():
+    y, x = np.mgrid[:64, :80]
+    smooth = {"R": (np.sin(x / 20) * np.cos(y / 15)).astype(np.float16)}
+    sizes = {c: len(exr.write(smooth, c)) for c in (exr.NONE, exr.ZIP, exr.PIZ)}
+    assert sizes[exr.PIZ] < sizes[exr.NONE] and sizes[exr.ZIP] < sizes[exr.NONE]
