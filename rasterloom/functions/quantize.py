@@ -72,3 +72,11 @@ def global_scale(distance: Column) -> Column:
         out = line if out is None else F.when(distance > d0, line).otherwise(out)
     low, high = SCALE_RANGE
     return F.when(distance <= 0, F.lit(high)).otherwise(F.least(F.greatest(F.rint(out), F.lit(low)), F.lit(high)))
+
+
+def reciprocal_quantize(v: Column, offset: Column, step: int) -> Column:
+    """Sign-magnitude quantiser: the high half of a product with a 32-bit reciprocal, shifted."""
+    bits = max(0, (step - 1).bit_length() - 1)
+    mantissa = -(-(1 << (32 + bits)) // step)  # rounded up, so that exact multiples of the step keep their quantum
+    q = F.shiftright((F.abs(v) + offset) * mantissa, 32 + bits)
+    return F.when(v < 0, -q).otherwise(q)

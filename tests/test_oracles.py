@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from rasterloom.plans import files, queries
+from rasterloom.plans import blocks, files
 
-EVERY = {**queries.QUERIES, **files.QUERIES}
-SQL = {**queries.ORACLES, **files.ORACLES}
+EVERY = {**blocks.QUERIES, **files.QUERIES}
+SQL = {**blocks.ORACLES, **files.ORACLES}
 
 
 def plain(v):
