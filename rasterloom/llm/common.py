@@ -6,6 +6,7 @@ executor can read them after any other executor is lost.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -78,3 +79,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system.
+
+    A worker idles between stages beside the JVM's heap; without this it holds
+    what its largest batch took.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

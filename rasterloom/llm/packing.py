@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, staged, trim
 from .ordinals import with_ordinals
-from .tokens import done, portions, word_encoder
+from .tokens import portions, release, word_encoder
 
 SEQUENCE = 4096
 END_ID = 1
@@ -40,7 +40,7 @@ LARGE = (1 / 8, 1 / 4, 1 / 3, 1 / 2)
 GROUPS = (8, 16, 32)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, hold: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each text's ids and ``end_id``, cut only if longer than ``size``."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -57,7 +57,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        done(tokenizer, False)
+        if not hold:
+            release(tokenizer, False)
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -255,15 +257,18 @@ class Places:
         return sequence, offset
 
 
-def packed(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, hold: bool = True) -> DataFrame:
     """A row for each piece of ``docs(doc_id, text, ...)`` with its sequence and its place there.
 
+    ``hold`` lets workers keep the words that they know from task to task; turn
+    it off where other stages need the memory.
+
     ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Null and
     empty texts are the end id alone. Repeated rows are packed each. Rows with a
     null doc_id are packed too. Other columns are ignored. An empty table gives
     an empty result.
     """
-    cut = staged(pieces(docs, tokenizer, size, end_id), "pieces")
+    cut = staged(pieces(docs, tokenizer, size, end_id, hold), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most
     places = Places.of(plan(histogram, size))
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]

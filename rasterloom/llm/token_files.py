@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, staged
-from .tokens import done, portions, word_encoder
+from .common import documents, fresh_path, staged, trim
+from .tokens import portions, word_encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
@@ -41,6 +41,8 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids in ``width`` bits each. Eight ids fill ``width`` whole bytes, so the lanes of eight need no scatter."""
+    if width in (8, 16, 32):
+        return ids.astype(f"<u{width // 8}").tobytes()
     padded = np.zeros(-(-len(ids) // 8) * 8, dtype=np.uint64)
     padded[: len(ids)] = ids
     lanes = padded.reshape(-1, 8)
@@ -55,6 +57,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(packed: bytes, n: int, width: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes."""
+    if width in (8, 16, 32):
+        return np.frombuffer(packed, f"<u{width // 8}", n).astype(np.uint32)
     groups = -(-n // 8)
     raw = np.zeros(groups * width, dtype=np.uint8)
     raw[: len(packed)] = np.frombuffer(packed, dtype=np.uint8)[: len(raw)]
@@ -152,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, voca
                         yield flush()
         if names:
             yield flush()
-        done(tokenizer, True)
+        trim()
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(run, "file string, n_docs long, n_ids long"), "token-files")
@@ -170,6 +174,8 @@ def read_digests(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
                 ids = f.ids(0, f.n_ids).astype("<u4")
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(f.starts[:-1], f.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1] + base), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del f, ids
+            trim()
 
     if not files.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

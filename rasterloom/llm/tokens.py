@@ -11,12 +11,13 @@ import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Distinct words of a generation; words found in the last two generations need no encoding.
+#: Distinct words of a generation; words found in the last two generations need no encoding. Byte-level vocabularies keep line starts besides.
 CACHE = 500_000
+CACHE_BYTES = 350_000
 #: Parts longer than this are encoded and not kept.
 KEPT = 48
 _SPACE_PAIR = re.compile(r" \s")
@@ -42,6 +43,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.space = " " if keeps_space else ""
+        self.room = CACHE_BYTES if keeps_space else CACHE
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # words at the start of a line
@@ -59,8 +61,10 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         """Adds ``words`` to the cache; those of several pre-tokens by parts, which repeat more."""
         cache, older, bare = self.cache, self.older, self.bare
-        if len(bare) > CACHE:
+        if len(bare) > self.room:
             bare.clear()
+        if len(self.signs) > self.room:
+            self.signs.clear()
         ended: list[tuple[str, str, str]] = []
         lines: list[tuple[str, str, str]] = []
         alone: set[str] = set()
@@ -125,11 +129,11 @@ class WordEncoder:
                 split.append([])
             else:
                 split.append((t if self.space else folded(t)).split(" "))
-        words = set(chain.from_iterable(p[1:] for p in split) if self.space else chain.from_iterable(split))
-        missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE:
+        every = lambda: chain.from_iterable(p[1:] for p in split) if self.space else chain.from_iterable(split)
+        missing = set(filterfalse(self.cache.__contains__, every()))
+        if len(self.cache) + len(missing) > self.room:
             self.older, self.cache = self.cache, {}
-            missing = words
+            missing = set(every())
         self.learn(missing)
         found = self.cache.__getitem__
         for i, parts in enumerate(split):
@@ -142,11 +146,11 @@ class WordEncoder:
         return out
 
 
-def done(path: str, keeps_space: bool) -> None:
-    """Lets go of the older words at the end of a task; the worker may idle for long."""
+def release(path: str, keeps_space: bool) -> None:
+    """Lets go of a worker's words, which it else keeps for its next task."""
     encoder = word_encoder(path, keeps_space)
-    encoder.older = {}
-    encoder.bare.clear()
+    for held in (encoder.cache, encoder.older, encoder.bare, encoder.signs):
+        held.clear()
 
 
 def folded(text: str) -> str:

@@ -22,6 +22,7 @@ def test_word_encoder_matches_the_library(name, keeps_space, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokens, "CACHE", 500)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
     own, library = tokens.WordEncoder(public.path(name), keeps_space), Tokenizer.from_file(public.path(name))
     texts = fuzz()
     got = [np.frombuffer(x, "<u4").tolist() for part in tokens.portions(texts, 4000) for x in own.encode(part)]
