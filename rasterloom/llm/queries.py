@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import REPEATED_STRINGS, WINNOWING
 from .packing import op5_best_fit_packing
 from .quality import op1_quality_rules
 from .sharding import op7_hypergeometric_shards
@@ -30,4 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_nnpu": op10_toxicity_nnpu,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_suffix_array_spans": REPEATED_STRINGS,
+    "op8_winnowing": WINNOWING,
+}
