@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import jpeg, png
 from .raster import BadImage, Color, Raster
 
 # Bytes of a value by field type.
@@ -129,10 +130,25 @@ def tile(samples: np.ndarray, ty: int, tx: int, height: int, width: int) -> np.n
     return out
 
 
-def write(images: list[np.ndarray], *, compress: bool = True, rows_per_strip: int = 64, tile_size: tuple[int, int] | None = None, icc: bytes | None = None) -> bytes:
-    """Pages in little-endian order, each in strips or, with ``tile_size`` (height, width), in tiles."""
+def png_page(data: bytes) -> np.ndarray:
+    """Samples of an 8-bit gray, RGB or RGBA PNG, to be packed anew as a page."""
+    p = png.read(data)
+    if p.depth != 8 or p.color_type not in (0, 2, 6):
+        raise BadImage("PNG layout of a page")
+    return p.samples
+
+
+def write(images: list[np.ndarray | bytes], *, compress: bool = True, rows_per_strip: int = 64, tile_size: tuple[int, int] | None = None, icc: bytes | None = None) -> bytes:
+    """Pages in little-endian order, each in strips or, with ``tile_size`` (height, width), in tiles. Bytes are a JPEG file that goes in as it is."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for samples in images:
+        if isinstance(samples, bytes):
+            w, h, c, _, _ = jpeg.info(samples)
+            at = len(out)
+            out += samples + b"\0" * (len(samples) % 2)
+            entries = {WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [8] * c), COMPRESSION: (3, [7]), PHOTOMETRIC: (3, [6 if c == 3 else 1]), STRIP_OFFSETS: (4, [at]), SAMPLES: (3, [c]), ROWS: (4, [h]), STRIP_COUNTS: (4, [len(samples)]), PLANAR: (3, [1])}
+            link = _linked(out, link, entries)
+            continue
         h, w, c = samples.shape
         little = samples.astype(samples.dtype.newbyteorder("<"))
         if tile_size:
@@ -157,15 +173,20 @@ def write(images: list[np.ndarray], *, compress: bool = True, rows_per_strip: in
             entries |= {STRIP_OFFSETS: (4, offsets), ROWS: (4, [rows_per_strip]), STRIP_COUNTS: (4, [len(p) for p in packed])}
         if icc:
             entries[ICC] = (7, list(icc))
-        at, body, extra = len(out), struct.pack("<H", len(entries)), b""
-        struct.pack_into("<I", out, link, at)
-        over = at + 2 + 12 * len(entries) + 4
-        for tag, (field_type, values) in sorted(entries.items()):
-            value = struct.pack(f"<{len(values)}{_FORMAT[field_type]}", *values)
-            if len(value) > 4:
-                pointer, extra = struct.pack("<I", over + len(extra)), extra + value + b"\0" * (len(value) % 2)
-                value = pointer
-            body += struct.pack("<HHI", tag, field_type, len(values)) + value.ljust(4, b"\0")
-        link = at + len(body)
-        out += body + b"\0\0\0\0" + extra
+        link = _linked(out, link, entries)
     return bytes(out)
+
+
+def _linked(out: bytearray, link: int, entries: dict[int, tuple[int, list]]) -> int:
+    """Appends a directory, points the one before to it and gives the place of its own pointer."""
+    at, body, extra = len(out), struct.pack("<H", len(entries)), b""
+    struct.pack_into("<I", out, link, at)
+    over = at + 2 + 12 * len(entries) + 4
+    for tag, (field_type, values) in sorted(entries.items()):
+        value = struct.pack(f"<{len(values)}{_FORMAT[field_type]}", *values)
+        if len(value) > 4:
+            pointer, extra = struct.pack("<I", over + len(extra)), extra + value + b"\0" * (len(value) % 2)
+            value = pointer
+        body += struct.pack("<HHI", tag, field_type, len(values)) + value.ljust(4, b"\0")
+    out += body + b"\0\0\0\0" + extra
+    return at + len(body)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
 
-from rasterloom.sources import exr, facade, piz, png, tiff
+from rasterloom.sources import exr, facade, jpeg, piz, png, tiff
 from rasterloom.sources.raster import HLG, PQ, BadImage
 
 small = st.tuples(st.integers(1, 9), st.integers(1, 9), st.integers(1, 4))
@@ -141,3 +141,18 @@ def test_smooth_images_shrink():
     smooth = {"R": (np.sin(x / 20) * np.cos(y / 15)).astype(np.float16)}
     sizes = {c: len(exr.write(smooth, c)) for c in (exr.NONE, exr.ZIP, exr.PIZ)}
     assert sizes[exr.PIZ] < sizes[exr.NONE] and sizes[exr.ZIP] < sizes[exr.NONE]
+
+
+def test_pages_from_other_files():
+    picture = np.random.default_rng(0).integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    file = jpeg.encode(picture)
+    data = tiff.write([file, tiff.png_page(png.write(picture))], rows_per_strip=4)
+    first, following = tiff.directory(data, int.from_bytes(data[4:8], "little"), "<")
+    at, n = first[tiff.STRIP_OFFSETS].values("<")[0], first[tiff.STRIP_COUNTS].values("<")[0]
+    assert data[at : at + n] == file and first[tiff.COMPRESSION].values("<") == (7,)
+    second, end = tiff.directory(data, following, "<")
+    assert end == 0 and second[tiff.HEIGHT].values("<") == (9,)
+    with pytest.raises(BadImage):
+        tiff.pages(data)  # packed JPEG strips are written and not read
+    with pytest.raises(BadImage):
+        tiff.png_page(png.write(picture.astype(np.uint16)))
