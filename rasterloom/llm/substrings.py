@@ -21,24 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, n_parts, staged, text_bytes
+from .common import documents, mix64, n_parts, staged, text_bytes, trim
 from .suffix_array import window_order
 from .winnow import unused_name
 from .words import sliding_min
 
 WIDTH = 50
 GRAM = 20
-#: Texts that hold an anchor before it counts as crowded.
+#: Texts that hold an anchor before it counts as crowded; in one batch of texts so many suffice.
 CROWDED = 2000
+CROWDED_BATCH = 50
 #: Anchors of a bucket, segment bytes of a shard and windows of a range, about.
-BUCKET_ANCHORS = 3_000_000
-SHARD_BYTES = 8 << 20
+BUCKET_ANCHORS = 700_000
+SHARD_BYTES = 4 << 20
 RANGE_WINDOWS = 500_000
 #: A text longer than this is walked in overlapping parts.
-PART = 1 << 20
+PART = 1 << 19
 _OCCURRENCE = np.dtype([("segment", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<u2")])
 _WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8")])
 _PLACE = np.dtype([("window", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<u2")])
@@ -74,8 +76,27 @@ def anchor_runs(data: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.n
     return h[at[new]], windows[new], windows[np.append(new[1:], len(windows)) - 1]
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts joined to about ``PART`` bytes: bytes, text number of each byte, and the byte's place in its text.
+class Joined:
+    """Parts of texts side by side: their bytes, the part of each byte, and where a byte lies in its text."""
+
+    def __init__(self, held: list[tuple[int, int, bytes]]):
+        self.raw = b"".join(p for _, _, p in held)
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        sizes = np.array([len(p) for _, _, p in held])
+        # Windows must not run from one part into the next, even of one text, so parts are numbered.
+        self.part_of = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+        self.texts = np.array([i for i, _, _ in held])
+        self.shift = np.array([a for _, a, _ in held]) - (np.cumsum(sizes) - sizes)
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        return self.texts[self.part_of[at]]
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return at + self.shift[self.part_of[at]]
+
+
+def _parts(texts: list[bytes]) -> Iterator[Joined]:
+    """Texts joined to about ``PART`` bytes.
 
     A longer text comes in parts that overlap by a window less one byte.
     """
@@ -87,69 +108,133 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             held.append((i, at, piece))
             size += len(piece)
             if size >= PART:
-                yield _joined(held)
+                yield Joined(held)
                 held, size = [], 0
     if held:
-        yield _joined(held)
+        yield Joined(held)
 
 
-def _joined(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(p for _, _, p in held), dtype=np.uint8)
-    sizes = np.array([len(p) for _, _, p in held])
-    # Parts of one text that lie side by side here must not join into windows: number parts, not texts.
-    part_of = np.repeat(np.arange(len(held)), sizes)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(data)) - np.repeat(first, sizes) + np.repeat(np.array([a for _, a, _ in held]), sizes)
-    text = np.array([i for i, _, _ in held])
-    return data, part_of, np.stack([text[part_of], place])
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _dest(texts: np.ndarray, dests: int) -> np.ndarray:
+    """Range of texts that a text's replies go to."""
+    return ((texts.view(np.uint64) >> np.uint64(32)) * np.uint64(dests)) >> np.uint64(32)
 
 
 def _anchors(buckets: int):
-    """Per batch and bucket of hashes: which texts hold which anchors."""
+    """Per batch and bucket of hashes: which texts hold which anchors.
+
+    ``kind`` 0 goes to the anchors' bucket. An anchor that many texts of this
+    batch hold is crowded for certain: its bucket only gets its name, and its texts
+    hear of it by rows of ``kind`` 1, whose key is the texts' range. So no anchor fills its bucket.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("texts", pa.binary()), ("counts", pa.binary()), ("anchors", pa.binary()), ("crowded", pa.binary())])
+
+    def row(kind: int, key: int, *parts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = text_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
             found, owners = [], []
-            for data, part_of, where in _parts(texts):
-                h, first, _ = anchor_runs(data, part_of)
+            for joined in _parts(texts):
+                h, first, _ = anchor_runs(joined.data, joined.part_of)
                 found.append(h)
-                owners.append(where[0][first])
+                owners.append(joined.text(first))
             if not found:
                 continue
             h, owner = np.concatenate(found), np.concatenate(owners)
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.lexsort((owner, bucket))
+            loud = np.zeros(len(h), dtype=bool)
+            ordered = np.sort(h)
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            often = ordered[first[np.diff(np.append(first, len(h))) > CROWDED_BATCH]]
+            if len(often):
+                near = np.flatnonzero(_among(h, often))
+                of = np.searchsorted(often, h[near])
+                pairs = _distinct(of * len(keys) + owner[near])
+                many = np.bincount(pairs // len(keys), minlength=len(often)) > CROWDED_BATCH
+                loud[near] = many[of]
+                told = pairs[many[pairs // len(keys)]]
+                text, anchor = keys[told % len(keys)].astype("<i8"), often[told // len(keys)].astype("<u4")
+                to = _dest(text, buckets)
+                for d in np.unique(to).tolist():
+                    own = to == d
+                    yield row(1, int(d), text[own], np.zeros(0, "<u4"), anchor[own], np.ones(int(own.sum()), np.uint8))
+                named = often[many]
+                named_bucket = ((named >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                for k in np.unique(named_bucket).tolist():
+                    yield row(0, int(k), np.zeros(0, "<i8"), np.zeros(0, "<u4"), np.zeros(0, "<u4"), named[named_bucket == k].astype("<u4"))
+            h, owner, bucket = h[~loud], owner[~loud], bucket[~loud]
+            order = np.argsort(bucket, kind="stable")  # texts stay in order
             h, owner, bucket = h[order].astype("<u4"), owner[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=buckets + 1, append=buckets + 1))
+            cuts = np.flatnonzero(np.diff(bucket, prepend=buckets + 1, append=buckets + 1)) if len(bucket) else np.zeros(1, dtype=np.int64)
             for a, z in zip(cuts, cuts[1:], strict=False):
-                who, first = np.unique(owner[a:z], return_index=True)
-                counts = np.diff(np.append(first, z - a)).astype("<u4")
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int64()), "texts": [keys[who].astype("<i8").tobytes()], "counts": [counts.tobytes()], "anchors": [h[a:z].tobytes()]})
+                first = np.flatnonzero(np.diff(owner[a:z], prepend=-1))
+                who, counts = owner[a:z][first], np.diff(np.append(first, z - a)).astype("<u4")
+                yield row(0, int(bucket[a]), keys[who].astype("<i8"), counts, h[a:z], np.zeros(0, "<u4"))
+            del found, owners, h, owner, bucket, order
+            trim()
+
+    return run
+
+
+def _shared(dests: int):
+    """Of one bucket: anchors that two texts hold, with their texts, a row for each range of texts.
+
+    Rows of ``kind`` 1 share the buckets' numbers and pass through.
+    """
+
+    def run(every: pa.Table) -> pa.Table:
+        direct = pc.equal(every.column("kind"), 1)
+        told = every.filter(direct).select(["key", "texts", "anchors", "crowded"])
+        table = every.filter(pc.invert(direct))
+        if not table.num_rows:
+            return told
+        keys = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("texts")])
+        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
+        anchors = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")])
+        named = _distinct(np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("crowded")]))
+        names, of = np.unique(keys, return_inverse=True)
+        pairs = _distinct((anchors.astype(np.uint64) << np.uint64(32)) | np.repeat(of, counts).astype(np.uint64))
+        anchor, text = (pairs >> np.uint64(32)).astype("<u4"), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, dtype=np.int64)
+        holders = np.repeat(np.diff(np.append(starts, len(anchor))), np.diff(np.append(starts, len(anchor))))
+        holders[np.isin(anchor, named)] = CROWDED + 2
+        keep = np.flatnonzero(holders > 1)
+        anchor, text, crowded = anchor[keep], names[text[keep]], (holders[keep] > CROWDED).astype(np.uint8)
+        dest = _dest(text, dests)
+        order = np.argsort(dest, kind="stable")
+        anchor, text, crowded, dest = anchor[order], text[order].astype("<i8"), crowded[order], dest[order]
+        cuts = np.flatnonzero(np.diff(dest, prepend=dests + 1, append=dests + 1)) if len(dest) else np.zeros(1, dtype=np.int64)
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        del keys, counts, anchors, of, pairs, holders, keep, order
+        trim()
+        found = pa.table({
+            "key": pa.array([int(dest[a]) for a, _ in spans], pa.int64()),
+            "texts": pa.array([text[a:z].tobytes() for a, z in spans], pa.binary()),
+            "anchors": pa.array([anchor[a:z].tobytes() for a, z in spans], pa.binary()),
+            "crowded": pa.array([crowded[a:z].tobytes() for a, z in spans], pa.binary()),
+        })
+        return pa.concat_tables([found, told])
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: each text's anchors that another text holds too; the crowded ones apart."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("texts")])
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
-    anchors = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")])
-    names, of = np.unique(keys, return_inverse=True)
-    pairs = np.unique((anchors.astype(np.uint64) << np.uint64(32)) | np.repeat(of, counts).astype(np.uint64))
-    anchor, text = (pairs >> np.uint64(32)).astype("<u4"), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    holders = np.repeat(np.diff(np.append(starts, len(anchor))), np.diff(np.append(starts, len(anchor))))
-    keep = np.flatnonzero(holders > 1)
-    order = keep[np.argsort(text[keep], kind="stable")]
-    anchor, text, crowded = anchor[order], text[order], holders[order] > CROWDED
-    cuts = np.flatnonzero(np.diff(text, prepend=-1, append=-1)) if len(text) else np.zeros(0, dtype=np.int64)
-    quiet, loud, n = [], [], []
-    for a, z in zip(cuts, cuts[1:], strict=False):
-        quiet.append(anchor[a:z][~crowded[a:z]].tobytes())
-        loud.append(anchor[a:z][crowded[a:z]].tobytes())
-        n.append(int(z - a))
-    return pa.table({"h1": pa.array(names[text[cuts[:-1]]] if len(cuts) else [], pa.int64()), "quiet": pa.array(quiet, pa.binary()), "loud": pa.array(loud, pa.binary()), "n": pa.array(n, pa.int64())})
+def _by_text(table: pa.Table) -> pa.Table:
+    """Of one range of texts: each text's shared anchors, the crowded ones apart."""
+    text, anchor, crowded = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in (("texts", "<i8"), ("anchors", "<u4"), ("crowded", "u1")))
+    order = np.lexsort((crowded, text))
+    text, anchor, crowded = text[order], anchor[order], crowded[order]
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    last = np.append(first[1:], len(text))
+    middle = last - np.add.reduceat(crowded.astype(np.int64), first)
+    cut = lambda a, z: pa.array([anchor[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())
+    return pa.table({"h1": pa.array(text[first]), "quiet": cut(first, middle), "loud": cut(middle, last)})
 
 
 def _segments(shards: int, ranges: int):
@@ -171,23 +256,23 @@ def _segments(shards: int, ranges: int):
             batch = int(mix64(np.array([docs[0]], dtype=np.int64).view(np.uint64) ^ tags[:1])[0] >> np.uint64(1))
             sets: dict[int, tuple[dict[bytes, int], list]] = {}
             loud_windows, loud_places = [], []
-            for data, part_of, where in _parts(texts):
-                h, first, last = anchor_runs(data, part_of)
-                text = where[0][first]
+            for joined in _parts(texts):
+                h, first, last = anchor_runs(joined.data, joined.part_of)
+                text = joined.text(first)
                 key = (text.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-                raw = data.tobytes()
-                for i in np.flatnonzero(_among(key, wanted[0])).tolist():
-                    held, places = sets.setdefault(int(h[i] % np.uint64(shards)), ({}, []))
-                    segment = raw[first[i] : last[i] + WIDTH]
-                    t = text[i]
-                    places.append((held.setdefault(segment, len(held)), where[1][first[i]], docs[t], tags[t] & np.uint64(0xFFFF)))
+                at = np.flatnonzero(_among(key, wanted[0]))
+                columns = (h[at] % np.uint64(shards), first[at], last[at] + WIDTH, joined.place(first[at]), docs[text[at]], tags[text[at]] & np.uint64(0xFFFF))
+                for shard, a, z, place, doc, tag in zip(*(c.tolist() for c in columns), strict=True):
+                    held, places = sets.setdefault(shard, ({}, []))
+                    places.append((held.setdefault(joined.raw[a:z], len(held)), place, doc, tag))
                 loud = np.flatnonzero(_among(key, wanted[1]))
                 if len(loud):
                     n = last[loud] - first[loud] + 1
                     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[loud], n)
-                    loud_windows.append(_window_hashes(data, at))
+                    loud_windows.append(_window_hashes(joined.data, at))
                     places = np.zeros(len(at), dtype=_PLACE)
-                    places["start"], places["doc"], places["tag"] = where[1][at], docs[where[0][at]], tags[where[0][at]] & np.uint64(0xFFFF)
+                    owner = joined.text(at)
+                    places["start"], places["doc"], places["tag"] = joined.place(at), docs[owner], tags[owner] & np.uint64(0xFFFF)
                     loud_places.append(places)
             for shard, (held, places) in sets.items():
                 sizes = np.array([len(s) for s in held], dtype="<u4")
@@ -207,15 +292,17 @@ def _segments(shards: int, ranges: int):
                 for r, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < z:
                         yield row(1, r, batch, sorted_[a:z].tobytes(), b"", b"")
+            del texts, wanted, sets, loud_windows, loud_places
+            trim()
 
     return run
 
 
 def _wanted(column: pa.Array) -> np.ndarray:
-    """Sorted ``text << 32 | anchor`` of lists of packed anchors."""
+    """Sorted ``text << 32 | anchor`` of packed anchors."""
     out = [np.zeros(0, dtype=np.uint64)]
-    for i, blobs in enumerate(column.to_pylist()):
-        out.append(np.frombuffer(b"".join(blobs or []), "<u4").astype(np.uint64) | np.uint64(i << 32))
+    for i, packed in enumerate(column.to_pylist()):
+        out.append(np.frombuffer(packed, "<u4").astype(np.uint64) | np.uint64(i << 32))
     return np.sort(np.concatenate(out))
 
 
@@ -279,6 +366,8 @@ def _shard_spans(table: pa.Table) -> pa.Table:
     step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     hit = np.flatnonzero(smallest[(ends - sizes)[place["segment"][owner]] + step] < place["doc"][owner])
     owner = owner[hit]
+    del order, shared, least, segment_of, groups, smallest, windows
+    trim()
     return pa.Table.from_batches([_spans(place["doc"][owner], place["tag"][owner], place["start"][owner] + step[hit])])
 
 
@@ -320,15 +409,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("doc"), text.alias("text"))
     known = staged(rows.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("n")), "texts")
-    firsts = known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first"))
+    # As a table of its own its join with the texts can split a text that very many rows repeat.
+    firsts = staged(known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     buckets = max(n_parts(spark) // 2, 1 + total // (15 * BUCKET_ANCHORS))
     anchored = rows.where(F.octet_length("text") >= WIDTH).select("text", F.xxhash64("text").alias("h1"))
-    held = anchored.mapInArrow(_anchors(buckets), "bucket long, texts binary, counts binary, anchors binary")
-    shared = staged(held.groupBy("bucket").applyInArrow(_shared, "h1 long, quiet binary, loud binary, n long"), "shared-anchors")
-    sums = shared.agg(F.sum(F.octet_length("quiet")), F.sum(F.octet_length("loud"))).first()
+    held = anchored.mapInArrow(_anchors(buckets), "kind int, key long, texts binary, counts binary, anchors binary, crowded binary")
+    shared = held.groupBy("key").applyInArrow(_shared(buckets), "key long, texts binary, anchors binary, crowded binary")
+    wanted = staged(shared.groupBy("key").applyInArrow(_by_text, "h1 long, quiet binary, loud binary"), "shared-anchors")
+    sums = wanted.agg(F.sum(F.octet_length("quiet")), F.sum(F.octet_length("loud"))).first()
     quiet, loud = (sums[0] or 0) // 4, (sums[1] or 0) // 4
-    wanted = shared.groupBy("h1").agg(F.collect_list("quiet").alias("quiet"), F.collect_list("loud").alias("loud"))
     # One row of each distinct text, and only if it shares an anchor.
     chosen = firsts.where(F.col("n") >= WIDTH).select(F.col("first").alias("doc"), "h1", "h2").join(wanted, "h1")
     bodies = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", F.xxhash64("text", F.lit(1)))

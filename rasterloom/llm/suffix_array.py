@@ -9,7 +9,7 @@ def _first_ranks(data: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Group numbers of the live positions by their first eight bytes; a group's number is its place in the order."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     keys = np.lib.stride_tricks.sliding_window_view(padded, 8)[live].copy().view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     rank = np.zeros(len(data), dtype=np.int64)
@@ -21,7 +21,7 @@ def _refine(rank: np.ndarray, live: np.ndarray, ahead: int) -> np.ndarray:
     """Ranks of the live positions by (own rank, rank ``ahead``). Only groups that are not yet single are sorted."""
     out = rank.copy()
     own = rank[live]
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own)
     ordered = own[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     single = new & np.append(new[1:], True)
@@ -29,7 +29,7 @@ def _refine(rank: np.ndarray, live: np.ndarray, ahead: int) -> np.ndarray:
     if not len(open_):
         return out
     key = (rank[open_] << 32) | rank[open_ + ahead]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     open_, key = open_[order], key[order]
     group = key >> 32
     place = np.arange(len(key))
@@ -59,7 +59,7 @@ def window_order(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nda
         ahead = min(depth, width - depth)
         depth += ahead
         rank = _refine(rank, np.flatnonzero(left >= depth), ahead)
-    order = live[np.argsort(rank[live], kind="stable")]
+    order = live[np.argsort(rank[live])]
     return order, _common_prefixes(data, starts, ends, order, width)
 
 

@@ -110,11 +110,12 @@ def brute_spans(rows):
         yield (i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize(("crowded", "part"), [(2000, 1 << 19), (2, 1 << 19), (3, 700)])
-def test_repeated_strings_match_brute_force(docs, spark, monkeypatch, crowded, part):
+@pytest.mark.parametrize(("crowded", "batch", "part"), [(2000, 50, 1 << 19), (2, 50, 1 << 19), (3, 2, 700), (2000, 1, 700)])
+def test_repeated_strings_match_brute_force(docs, spark, monkeypatch, crowded, batch, part):
     monkeypatch.setattr(substrings, "CROWDED", crowded)
     monkeypatch.setattr(substrings, "PART", part)
     monkeypatch.setattr(substrings, "RANGE_WINDOWS", 300)
+    monkeypatch.setattr(substrings, "CROWDED_BATCH", batch)
     twice = spark.createDataFrame([(3, "one of two texts that share an id and this long passage as well"), (3, "another of two texts that share an id and this long passage as well"), (None, "text without an id that shares an id and this long passage as well")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").union(twice)
     got = sorted((tuple(r) for r in substrings.span_digests(rows).collect()), key=str)
