@@ -58,31 +58,32 @@ def byte_product(x: Column, y: Column) -> Column:
     return F.shiftright(t + F.shiftright(t, 8), 8)
 
 
-def reversible_forward(kind: Column, channels: list[Column]) -> list[Column]:
-    """Residuals of a reversible colour transform: ``kind`` is 7 times a channel order plus one of 7 transforms."""
-    order, form = F.floor(kind / 7), kind % 7
-    d, e, f = (_choose(order, [channels[o.index(k)] for o in CHANNEL_ORDERS]) for k in range(3))
+def in_decoded_order(order: Column, channels: list[Column]) -> list[Column]:
+    """Channels as the reversible transform takes them, for each of its six orders."""
+    return [_choose(order, [channels[o.index(k)] for o in CHANNEL_ORDERS]) for k in range(3)]
+
+
+def in_shown_order(order: Column, decoded: list[Column]) -> list[Column]:
+    return [_choose(order, [decoded[o[k]] for o in CHANNEL_ORDERS]) for k in range(3)]
+
+
+def reversible_residuals(form: Column, d: Column, e: Column, f: Column) -> list[Column]:
+    """Residuals of one of seven reversible transforms."""
     chroma = wrap32(d - f)
     middle = wrap32(f + F.shiftright(chroma, 1))
     green = wrap32(e - middle)
-    plain = [
-        d,
-        F.when(F.floor(form / 2) == 1, e - d).when(F.floor(form / 2) == 2, e - F.shiftright(wrap32(d + f), 1)).otherwise(e),
-        F.when(form % 2 == 1, f - d).otherwise(f),
-    ]
+    second = F.when(form.isin(2, 3), e - d).when(form.isin(4, 5), e - F.shiftright(wrap32(d + f), 1)).otherwise(e)
+    third = F.when(form.isin(1, 3, 5), f - d).otherwise(f)
     lifted = [middle + F.shiftright(green, 1), chroma, green]
-    return [wrap32(F.when(form == 6, a).otherwise(b)) for a, b in zip(lifted, plain, strict=True)]
+    return [wrap32(F.when(form == 6, x).otherwise(y)) for x, y in zip(lifted, (d, second, third), strict=True)]
 
 
-def reversible_inverse(kind: Column, channels: list[Column]) -> list[Column]:
-    a, b, c = channels
-    order, form = F.floor(kind / 7), kind % 7
+def reversible_decoded(form: Column, a: Column, b: Column, c: Column) -> list[Column]:
     middle = wrap32(a - F.shiftright(c, 1))
     blue = wrap32(middle - F.shiftright(b, 1))
-    third = wrap32(F.when(form % 2 == 1, c + a).otherwise(c))
-    second = F.when(F.floor(form / 2) == 1, b + a).when(F.floor(form / 2) == 2, b + F.shiftright(wrap32(a + third), 1)).otherwise(b)
-    decoded = [wrap32(F.when(form == 6, x).otherwise(y)) for x, y in ((blue + b, a), (c + middle, second), (blue, third))]
-    return [_choose(order, [decoded[o[k]] for o in CHANNEL_ORDERS]) for k in range(3)]
+    third = wrap32(F.when(form.isin(1, 3, 5), c + a).otherwise(c))
+    second = F.when(form.isin(2, 3), b + a).when(form.isin(4, 5), b + F.shiftright(wrap32(a + third), 1)).otherwise(b)
+    return [wrap32(F.when(form == 6, x).otherwise(y)) for x, y in ((blue + b, a), (c + middle, second), (blue, third))]
 
 
 def _choose(index: Column, options: list[Column]) -> Column:

@@ -14,7 +14,7 @@ def long(x: Column | int) -> Column:
 
 def wrap32(x: Column) -> Column:
     """Wraps a long to the range of a signed 32-bit integer."""
-    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return F.shiftright(F.shiftleft(x.cast("long"), 32), 32)
 
 
 def clamp(x: Column, low: Column | int, high: Column | int) -> Column:

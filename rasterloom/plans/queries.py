@@ -45,6 +45,12 @@ def rounded(**columns: Column) -> list[Column]:
     return [F.round(c, 6).alias(n) for n, c in columns.items()]
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read and do not repeat: a generator of one row keeps them apart."""
+    out = df.withColumn("_settled", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return out.select(*df.columns, "_settled.*")
+
+
 def rgbk() -> list[Column]:
     return [F.col(c) for c in "rgbk"]
 
@@ -133,13 +139,16 @@ def blinn_mul(spark, sf_dir):
 def rct_all_types(spark, sf_dir):
     """All 42 reversible transforms: sums of the residuals, and pixels that the inverse does not restore."""
     r, g, b, k = rgbk()
-    px = rasters.plain_items(spark, sf_dir).withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(41))))
-    kind = F.col("kind")
-    px = px.withColumn("c", F.array(*color.reversible_forward(kind, [r, g, b])))
-    c = [F.col("c")[i] for i in range(3)]
-    px = px.withColumn("back", F.array(*color.reversible_inverse(kind, c)))
-    lost = F.sum((F.col("back") != F.array(r, g, b)).cast("long"))
-    return px.groupBy(kind.cast("long").alias("kind")).agg(*longs(c0=F.sum(c[0]), c1=F.sum(c[1]), c2=F.sum(c[2]), mixed=F.sum(c[0] * 31 + c[1] * 17 + c[2] * (k + 3)), not_restored=lost))
+    px = rasters.plain_items(spark, sf_dir).withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    px = settled(px, **dict(zip("def", color.in_decoded_order(F.col("order"), [r, g, b]), strict=True)))
+    px = px.withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    px = settled(px, **dict(zip(("c0", "c1", "c2"), color.reversible_residuals(F.col("form"), F.col("d"), F.col("e"), F.col("f")), strict=True)))
+    c = [F.col(f"c{i}") for i in range(3)]
+    px = settled(px, **dict(zip(("d0", "e0", "f0"), color.reversible_decoded(F.col("form"), *c), strict=True)))
+    back = color.in_shown_order(F.col("order"), [F.col(n) for n in ("d0", "e0", "f0")])
+    lost = F.sum(((back[0] != r) | (back[1] != g) | (back[2] != b)).cast("long"))
+    kind = (F.col("order") * 7 + F.col("form")).cast("long").alias("kind")
+    return px.groupBy(kind).agg(*longs(c0=F.sum(c[0]), c1=F.sum(c[1]), c2=F.sum(c[2]), mixed=F.sum(c[0] * 31 + c[1] * 17 + c[2] * (k + 3)), not_restored=lost))
 
 
 @query(f"WITH {GRAD} SELECT y, x, CASE WHEN r - g >= 0 THEN 2 * (r - g) ELSE -2 * (r - g) - 1 END AS packed, r - g AS unpacked FROM px")
