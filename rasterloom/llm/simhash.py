@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, n_parts, staged, text_bytes
+from .common import documents, staged, text_bytes, trim
 from .components import connected_components
 
 RADIUS = 3
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
         for b in batches:
             fps = np.array([fingerprint(t, words_per_shingle) for t in text_bytes(b.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -151,20 +152,27 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     roots = connected_components(fingerprint_links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # As a table of its own, so that its join can split a component that holds very many fingerprints.
+    lows = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     named = rooted.join(lows, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """The row with the smallest doc_id of each near-duplicate component, with all its columns.
+def representatives(docs: DataFrame, shingles: tuple[int, ...] = (5, 3)) -> DataFrame:
+    """The row with the smallest doc_id of each near-duplicate group, with all its columns.
 
-    Of rows that repeat this doc_id one stays. Null doc_ids are kept: nothing names them.
+    Documents link if their fingerprints do for any of the ``shingles`` lengths;
+    shorter shingles lose fewer bits to a changed word. Of rows that repeat a
+    doc_id one stays. Null doc_ids are kept: nothing names them.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), words_per_shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    links = None
+    for n in shingles:
+        found = near_duplicates(named, n).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        links = found if links is None else links.union(found)
+    gone = connected_components(links).where("node <> root").select(F.col("node").alias("doc_id"))
+    kept = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def op6_simhash_covering(spark, sf_dir: str) -> DataFrame:

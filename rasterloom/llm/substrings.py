@@ -234,7 +234,10 @@ def _by_text(table: pa.Table) -> pa.Table:
     last = np.append(first[1:], len(text))
     middle = last - np.add.reduceat(crowded.astype(np.int64), first)
     cut = lambda a, z: pa.array([anchor[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())
-    return pa.table({"h1": pa.array(text[first]), "quiet": cut(first, middle), "loud": cut(middle, last)})
+    out = pa.table({"h1": pa.array(text[first]), "quiet": cut(first, middle), "loud": cut(middle, last)})
+    del text, anchor, crowded, order
+    trim()
+    return out
 
 
 def _segments(shards: int, ranges: int):
@@ -504,6 +507,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             if chars_at >= 0:
                 columns[chars_at] = pa.array([len(t) for t in kept]).cast(columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+            del kept, columns
+            trim()
 
     return _with_spans(docs).mapInArrow(run, schema)
 
@@ -528,6 +533,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
                 out.append((len(t), sum(z - a for a, z in spans), len(spans), digest.hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _with_spans(rows).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

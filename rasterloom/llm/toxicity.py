@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, text_bytes
+from .common import documents, mix64, text_bytes, trim
 from .words import chunks, split_words
 
 #: Training sample: at most so many positives and unlabelled documents, lowest hash of doc_id first.
@@ -169,6 +169,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
             texts = text_bytes(b.column(text_at))
             score = [s for _, part in chunks(texts) for s in shared.value.scores(part).tolist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, name])
+            trim()
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("double")).schema)
 

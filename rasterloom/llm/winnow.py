@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, text_bytes
+from .common import documents, text_bytes, trim
 from .words import Words, chunks, gram_hashes, sliding_min, split_words
 
 WINDOW = 13
@@ -139,6 +139,8 @@ def _pass(shared, name: str, text_at: int):
                     rows.append({"n_words": n, "spans": [x for s in spans for x in s], "items": sorted(items.union(old["items"] or []))})
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], names=[*b.schema.names[:-1], name])
+            del texts, before, rows
+            trim()
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ _POWERS = np.multiply.accumulate(_POWERS)
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 #: Bytes of texts joined before one round of array work.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @dataclass
@@ -92,7 +92,3 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, list[b
             first, held = i + 1, 0
     if first < len(texts):
         yield first, texts[first:]
-
-
-def whole(values: Iterable[bytes | None]) -> list[bytes]:
-    return [v or b"" for v in values]
