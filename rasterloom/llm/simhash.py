@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged, text_bytes, trim
 from .components import connected_components
+from .jaccard import similar_links
 
 RADIUS = 3
 SEED = 42
@@ -161,8 +162,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
 def representatives(docs: DataFrame, shingles: tuple[int, ...] = (5, 3)) -> DataFrame:
     """The row with the smallest doc_id of each near-duplicate group, with all its columns.
 
-    Documents link if their fingerprints do for any of the ``shingles`` lengths;
-    shorter shingles lose fewer bits to a changed word. Of rows that repeat a
+    Documents link if their sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, or if their fingerprints do for any of the ``shingles``
+    lengths. Of rows that repeat a
     doc_id one stays. Null doc_ids are kept: nothing names them.
     """
     named = docs.where("doc_id is not null")
@@ -170,6 +172,8 @@ def representatives(docs: DataFrame, shingles: tuple[int, ...] = (5, 3)) -> Data
     for n in shingles:
         found = near_duplicates(named, n).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         links = found if links is None else links.union(found)
+    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["id"])
+    links = links.union(similar_links(texts))
     gone = connected_components(links).where("node <> root").select(F.col("node").alias("doc_id"))
     kept = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
