@@ -159,22 +159,22 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingles: tuple[int, ...] = (5, 3)) -> DataFrame:
+def representatives(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each near-duplicate group, with all its columns.
 
-    Documents link if their sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, or if their fingerprints do for any of the ``shingles``
-    lengths. Of rows that repeat a
+    Texts link if their sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, and all texts without words link. Of rows that repeat a
     doc_id one stays. Null doc_ids are kept: nothing names them.
     """
     named = docs.where("doc_id is not null")
-    links = None
-    for n in shingles:
-        found = near_duplicates(named, n).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        links = found if links is None else links.union(found)
-    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["id"])
-    links = links.union(similar_links(texts))
-    gone = connected_components(links).where("node <> root").select(F.col("node").alias("doc_id"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.when(F.trim(text) == "", F.lit("")).otherwise(text).alias("text")).dropDuplicates(["id"])
+    texts = staged(texts, "texts")
+    keys = staged(texts.select("id", F.sha2("text", 256).alias("key")), "keys")
+    lows = staged(keys.groupBy("key").agg(F.min("id").alias("low")), "lows")
+    copies = staged(keys.join(lows, "key").select(F.col("id").alias("a"), F.col("low").alias("b")), "copies")
+    distinct = texts.join(copies.where("a = b").select(F.col("a").alias("id")), "id", "left_semi")
+    gone = connected_components(copies.union(similar_links(staged(distinct, "distinct-texts")))).where("node <> root").select(F.col("node").alias("doc_id"))
     kept = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 

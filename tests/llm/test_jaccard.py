@@ -67,3 +67,17 @@ def test_similar_links_match_all_pairs(spark, texts, monkeypatch, crowded):
 def test_representatives_find_every_similar_pair(spark, texts):
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert not [i for i, low in enumerate(brute_groups(texts)) if low != i and i in kept]
+
+
+def test_representatives_keep_texts_below_the_threshold(spark):
+    """Texts whose fingerprints are within three bits though their similarity is below 0.8."""
+    rng = random.Random(8)
+    pairs = []
+    while len(pairs) < 2:
+        text = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+        other = edited(rng, text, 2)
+        prints = [[simhash.fingerprint(t.encode(), n) for t in (text, other)] for n in (5, 3)]
+        if likeness(text, other) < 0.8 and any((a ^ b).bit_count() <= 3 for a, b in prints):
+            pairs += [text, other]
+    rows = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(rows).collect()) == [0, 1]
