@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import documents, staged, text_bytes, trim
 from .components import connected_components
 from .jaccard import similar_links
+from .quality import SPACE
+from .winnow import unused_name
 
 RADIUS = 3
 SEED = 42
@@ -163,20 +165,30 @@ def representatives(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each near-duplicate group, with all its columns.
 
     Texts link if their sets of five-word shingles have a Jaccard similarity of
-    0.8 or more, and all texts without words link. Of rows that repeat a
-    doc_id one stays. Null doc_ids are kept: nothing names them.
+    0.8 or more; all texts without words link. Rows that repeat a doc_id are
+    documents side by side if their texts differ; of near-duplicates among them
+    the one with the smallest hash stays. Null doc_ids are kept: nothing names them.
     """
-    named = docs.where("doc_id is not null")
+    id_, low = unused_name(docs, "id"), unused_name(docs, "low")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = named.select(F.col("doc_id").cast("long").alias("id"), F.when(F.trim(text) == "", F.lit("")).otherwise(text).alias("text")).dropDuplicates(["id"])
-    texts = staged(texts, "texts")
-    keys = staged(texts.select("id", F.sha2("text", 256).alias("key")), "keys")
-    lows = staged(keys.groupBy("key").agg(F.min("id").alias("low")), "lows")
-    copies = staged(keys.join(lows, "key").select(F.col("id").alias("a"), F.col("low").alias("b")), "copies")
-    distinct = texts.join(copies.where("a = b").select(F.col("a").alias("id")), "id", "left_semi")
-    gone = connected_components(copies.union(similar_links(staged(distinct, "distinct-texts")))).where("node <> root").select(F.col("node").alias("doc_id"))
-    kept = named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    text = F.when(F.translate(text, SPACE, "") == "", F.lit("")).otherwise(text)
+    doc = F.col("doc_id").cast("long")
+    named = docs.where("doc_id is not null").withColumn(id_, F.xxhash64(text))
+    held = named.select(doc.alias("doc"), F.col(id_).alias("id"), F.xxhash64(F.lit(1), text).alias("other"), F.octet_length(text).alias("size"))
+    nodes = staged(held.groupBy("id").agg(F.min("doc").alias("low"), ((F.min("other") != F.max("other")) | (F.min("size") != F.max("size"))).alias("clash")), "nodes")
+    # Different texts with one hash are left as they are; none is expected.
+    clashes = nodes.where("clash").select("id")
+    clash = clashes.limit(1).count() > 0
+    texts = named.select(F.col(id_).alias("id"), text.alias("text"))
+    links = similar_links(texts.join(clashes, "id", "left_anti") if clash else texts)
+    roots = connected_components(links).withColumnRenamed("node", "id")
+    rooted = staged(nodes.where("not clash").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), F.struct("low", "id").alias("first")), "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.low").alias(low), F.col("first.id").alias(id_))
+    keyed = named.withColumn(low, doc)
+    kept = keyed.join(staged(firsts, "firsts"), [low, id_], "left_semi").dropDuplicates([low, id_]).select(*docs.columns)
+    if clash:
+        kept = kept.union(named.join(clashes.withColumnRenamed("id", id_), id_, "left_semi").select(*docs.columns))
+    return kept.union(docs.where("doc_id is null"))
 
 
 def op6_simhash_covering(spark, sf_dir: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_representatives_keep_texts_below_the_threshold(spark):
             pairs += [text, other]
     rows = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.representatives(rows).collect()) == [0, 1]
+
+
+def test_representatives_keep_different_texts_of_one_doc_id(spark):
+    rng = random.Random(9)
+    one, two = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(50)) for _ in range(2))
+    rows = [(1, one), (1, two), (1, one), (2, two), (3, None), (4, " \n"), (5, "word"), (None, one)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, one), (1, two), (3, ""), (5, "word"), (0, one)])
