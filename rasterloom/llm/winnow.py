@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, text_bytes, trim
+from .common import documents, staged, text_bytes, trim
 from .words import Words, chunks, gram_hashes, sliding_min, split_words
 
 WINDOW = 13
@@ -155,10 +155,51 @@ def contaminated(hit: F.Column) -> F.Column:
     return (hits > 0) & (SHARE * hits >= hit["n_words"])
 
 
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words of ``spans``, from each span's first byte to its last."""
+    words = split_words([text])
+    parts, at = [], 0
+    for a, z in spans:
+        parts.append(text[at : int(words.starts[a])])
+        at = int(words.ends[z - 1])
+    return b"".join([*parts, text[at:]])
+
+
+def _without_hits(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs``' columns of ``found`` with the hit words cut out; the last column of ``found`` has the hits."""
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [x["spans"] for x in b.column(b.num_columns - 1).to_pylist()]
+            texts = [without_words(t, list(zip(s[::2], s[1::2], strict=True))).decode("utf-8", "replace") for t, s in zip(text_bytes(b.column(text_at)), spans, strict=True)]
+            columns = list(b.columns[:-1])
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at >= 0:
+                columns[chars_at] = pa.array([len(t) for t in texts]).cast(columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            trim()
+
+    return found.mapInArrow(run, docs.schema)
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones, all columns kept."""
+    """``docs`` without the contaminated ones, and without the hit words of the others.
+
+    A cut makes neighbours of the words around it; if these are another hit, it
+    is cut as well, until none is left. ``n_chars``, if there is one, is set anew
+    where text was cut. All columns are kept.
+    """
     found, name = with_hits(docs, benchmark)
-    return found.where(~contaminated(F.col(name))).select(*docs.columns)
+    found = staged(found.where(~F.coalesce(contaminated(F.col(name)), F.lit(False))), "hits")
+    hit = F.coalesce(F.size(F.col(name)["spans"]), F.lit(0)) > 0
+    out = found.where(~hit).select(*docs.columns)
+    while found.where(hit).limit(1).count():
+        # Each round shortens every text that is left, so this ends.
+        found = staged(with_hits(_without_hits(found.where(hit), docs), benchmark)[0], "hits")
+        out = out.union(found.where(~hit).select(*docs.columns))
+    return out
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
