@@ -399,6 +399,11 @@ def _crowded_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _spans(place["doc"][hit], place["tag"][hit], place["start"][hit])
 
 
+def second_hash(text: F.Column | str) -> F.Column:
+    """A hash of ``text`` beside ``xxhash64(text)``. The salt comes first: each argument's hash seeds the next, so a last one would add nothing."""
+    return F.xxhash64(F.lit(1), text)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: ``doc_id, h1, copy, spans``.
 
@@ -411,7 +416,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("doc"), text.alias("text"))
-    known = staged(rows.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("n")), "texts")
+    known = staged(rows.select("doc", F.xxhash64("text").alias("h1"), second_hash("text").alias("h2"), F.octet_length("text").cast("long").alias("n")), "texts")
     # As a table of its own its join with the texts can split a text that very many rows repeat.
     firsts = staged(known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
@@ -424,7 +429,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     quiet, loud = (sums[0] or 0) // 4, (sums[1] or 0) // 4
     # One row of each distinct text, and only if it shares an anchor.
     chosen = firsts.where(F.col("n") >= WIDTH).select(F.col("first").alias("doc"), "h1", "h2").join(wanted, "h1")
-    bodies = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", F.xxhash64("text", F.lit(1)))
+    bodies = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", second_hash("text"))
     to_cut = bodies.join(chosen, "doc").where((F.col("x1") == F.col("h1")) & (F.col("x2") == F.col("h2")))
     to_cut = to_cut.select("text", "doc", F.col("h1").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "quiet", "loud")
     shards, ranges = 1 + quiet * 66 // SHARD_BYTES, 1 + loud * 16 // RANGE_WINDOWS
@@ -480,7 +485,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     found = repeated_spans(docs)
     names = [unused_name(docs, n) for n in ("copy", "spans", "doc", "x1", "x2")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({names[2]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[3]: F.xxhash64(text), names[4]: F.xxhash64(text, F.lit(1))})
+    keyed = docs.withColumns({names[2]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[3]: F.xxhash64(text), names[4]: second_hash(text)})
     found = found.select(F.col("doc").alias(names[2]), F.col("h1").alias(names[3]), F.col("h2").alias(names[4]), F.col("copy").alias(names[0]), F.col("spans").alias(names[1]))
     return keyed.join(found, names[2:]).select(*(keyed[f"`{c}`"] for c in docs.columns), names[0], names[1])
 

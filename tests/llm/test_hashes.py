@@ -1,0 +1,15 @@
+"""The two hashes that tell whole texts are independent."""
+
+import struct
+
+import xxhash
+from pyspark.sql import functions as F
+
+from rasterloom.llm import substrings
+
+
+def test_second_hash_is_no_function_of_the_first(spark):
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(20)], "text string")
+    for r in rows.select(F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("chained"), substrings.second_hash("text").alias("h2")).collect():
+        assert r.chained % (1 << 64) == xxhash.xxh64_intdigest(struct.pack("<i", 1), r.h1 % (1 << 64))
+        assert r.h2 != r.chained
