@@ -413,11 +413,12 @@ def gainmap_reconstruct(spark, sf_dir):
 @query("""SELECT l_orderkey AS y, l_linenumber AS idx, (n_nationkey * 10) % 256 AS r, (n_regionkey * 50) % 256 AS g, length(n_name) AS b, CASE WHEN n_nationkey < 4 THEN 64 * n_nationkey ELSE 255 END AS a
     FROM lineitem JOIN nation ON n_nationkey = l_linenumber""")
 def palette_lookup(spark, sf_dir):
-    """Indexed pixels through a palette of at most 256 entries, the bound of the format, with a short alpha list."""
-    palette = spark.read.parquet(f"{sf_dir}/nation.parquet").limit(256)
+    """Indexed pixels through a palette with a short alpha list. Up to 256 entries, the bound of the format, are broadcast; more are joined plainly."""
+    palette = spark.read.parquet(f"{sf_dir}/nation.parquet")
     entry = palette.select(F.col("n_nationkey").alias("idx"), *longs(r=(F.col("n_nationkey") * 10) % 256, g=(F.col("n_regionkey") * 50) % 256, b=F.length("n_name"), a=F.when(F.col("n_nationkey") < 4, 64 * F.col("n_nationkey")).otherwise(255)))
     px = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("idx"))
-    return px.join(F.broadcast(entry), "idx").select("y", F.col("idx").cast("long"), "r", "g", "b", "a")
+    side = F.broadcast(entry) if palette.limit(257).count() <= 256 else entry
+    return px.join(side, "idx").select("y", F.col("idx").cast("long"), "r", "g", "b", "a")
 
 
 @query(f"""WITH {GRAD}, t AS (SELECT t.ty, t.tx, i.iy, i.ix, coalesce(p.r, 0) AS v FROM (SELECT ty, tx FROM range(2) a(ty), range(3) b(tx)) t, (SELECT iy, ix FROM range(64) a(iy), range(48) b(ix)) i LEFT JOIN px p ON p.y = ty * 64 + iy AND p.x = tx * 48 + ix)
