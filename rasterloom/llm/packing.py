@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged, trim
 from .ordinals import with_ordinals
-from .tokens import portions, release, word_encoder
+from .tokens import release, word_encoder
 
 SEQUENCE = 4096
 END_ID = 1
@@ -42,18 +42,17 @@ GROUPS = (8, 16, 32)
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, hold: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each text's ids and ``end_id``, cut only if longer than ``size``."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer, False).encode
+        encoder = word_encoder(tokenizer, False)
         for b in batches:
-            names, out = iter(b.column(0).to_pylist()), []
-            for part in portions(b.column(1).to_pylist()):
-                for ids in encode(part):
-                    ids, name = ids + end, next(names)
-                    for k, at in enumerate(range(0, len(ids), 4 * size)):
-                        cut = ids[at : at + 4 * size]
-                        out.append((name, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            out = []
+            for name, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, end)
+                for k, at in enumerate(range(0, len(ids), size)):
+                    cut = ids[at : at + size]
+                    out.append((name, k, at, len(cut), zlib.crc32(cut)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -272,7 +271,8 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most
     places = Places.of(plan(histogram, size))
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    ranked = with_ordinals(cut, "length", order, "position", F.xxhash64("doc_id", "piece", "ids_crc32"), sum(histogram.values()))
+    # Where a row lies in the staged table tells repeated rows apart.
+    ranked = with_ordinals(cut, "length", order, "position", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), sum(histogram.values()))
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

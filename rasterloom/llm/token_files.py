@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, staged, trim
-from .tokens import portions, word_encoder
+from .common import documents, fresh_path, n_parts, staged, trim
+from .tokens import word_encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 4096
 #: Ids in a file at most, but for a document that is longer alone.
 FILE_IDS = 2 << 20
+#: Files that a reading task opens, about.
+FILES_PER_TASK = 16
 _HEAD = struct.Struct("<8sIIQQ")
 
 
@@ -116,12 +118,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, voca
     """Writes ``docs(doc_id, text, ...)`` to files in ``folder``; a row ``file, n_docs, n_ids`` each.
 
     Each text's ids are followed by ``end_id``. Null texts are empty. Rows go in
-    ascending doc_id, null first, repeated rows next to each other. A task
+    ascending doc_id, null first; those of one doc_id in the order of their
+    texts' hashes, by which very many of them are split over tasks. A task
     writes under a name of its own and then renames, so a repeated task leaves
-    the same files. An empty table leaves none.
+    the same files. Other columns are ignored. An empty table leaves none.
     """
     width = width_of(vocabulary)
-    end = struct.pack("<I", end_id)
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -146,41 +149,50 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, voca
             return row
 
         for b in batches:
-            doc_ids, at = b.column(0).to_pylist(), 0
-            for part in portions(b.column(1).to_pylist()):
-                for encoded in encoder.encode(part):
-                    ids.append(np.frombuffer(encoded + end, dtype="<u4"))
-                    names.append(doc_ids[at])
-                    held, at = held + len(ids[-1]), at + 1
-                    if held >= FILE_IDS:
-                        yield flush()
+            for name, encoded in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+                ids.append(np.append(encoded, end))
+                names.append(name)
+                held += len(ids[-1])
+                if held >= FILE_IDS:
+                    yield flush()
         if names:
             yield flush()
         trim()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = (F.col("doc_id"), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     return staged(ordered.mapInArrow(run, "file string, n_docs long, n_ids long"), "token-files")
 
 
 def read_digests(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``, unpacked from the packed bits."""
-    before = F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    bases = files.select("file", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each file
+    """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``, unpacked from the packed bits.
+
+    Without files the result is empty.
+    """
+    # Two levels of sums: one row for each task that wrote, then the files of each.
+    part = F.substring("file", 6, 7)
+    tasks = files.groupBy(part.alias("part")).agg(F.sum("n_ids").alias("n"))
+    bases = tasks.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    placed = files.withColumn("part", part).withColumn("before", F.coalesce(before, F.lit(0))).join(bases, "part").select("file", (F.col("base") + F.col("before")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                f = TokenFile(data.as_py())
+            for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{name}") as raw:
+                    f = TokenFile(raw.read())
                 ids = f.ids(0, f.n_ids).astype("<u4")
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(f.starts[:-1], f.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1] + base), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 del f, ids
-            trim()
+                trim()
 
-    if not files.limit(1).count():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    raw = spark.read.format("binaryFile").load(f"{folder}/*.tok").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return raw.join(bases, "file").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Only names travel; each task opens its own files.
+    spread = placed.repartition(max(n_parts(spark), files.count() // FILES_PER_TASK), F.xxhash64("file"))
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_bit_packed_ids(spark, sf_dir: str) -> DataFrame:

@@ -17,15 +17,18 @@ def fuzz(n=3000):
     return ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 40))) for _ in range(n)] + ["a<|endoftext|> b <|endoftext|>", "<s> </s> <unk> <0x41>", "", " ", "x" * 3000, "▁" * 700, "it's we'll 's"]
 
 
+@pytest.mark.parametrize("portion", [10, 4000, 6 << 20])
 @pytest.mark.parametrize(("name", "keeps_space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_word_encoder_matches_the_library(name, keeps_space, monkeypatch):
+def test_word_encoder_matches_the_library(name, keeps_space, portion, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokens, "CACHE", 500)
-    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
+    monkeypatch.setattr(tokens, "PORTION", portion)
     own, library = tokens.WordEncoder(public.path(name), keeps_space), Tokenizer.from_file(public.path(name))
-    texts = fuzz()
-    got = [np.frombuffer(x, "<u4").tolist() for part in tokens.portions(texts, 4000) for x in own.encode(part)]
+    rng = random.Random(5)
+    latin = "ab   \n\t''''sstmdrevel.,\x1cA\u00e91\u00b2\u00bd\u00aa\u00ad\r\x0b\xa0"
+    texts = fuzz() + ["".join(rng.choice(latin) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    got = [x.tolist() for x in own.encode_all([t or None for t in texts])]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
