@@ -1,9 +1,11 @@
 """URL filtering by fixed rules and by association rules mined from labels.
 
 Spark's FP-growth finds token combinations of labelled urls that go with a bad
-label. Rules pruned by support, confidence and redundancy match new urls through
-an inverted index: a rule is listed under its rarest token, and a url is tested
-only against the rules listed under its own tokens.
+label. A combination is a rule if enough bad urls hold it, most urls that hold it
+are bad, and this lies so far above the share of bad urls that a lower confidence
+bound says so too. Rules that a shorter rule covers are dropped. The rest match
+new urls through an inverted index: a rule is listed under its rarest token, and
+a url is tested only against the rules listed under its own tokens.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from .common import broadcast_if_small, documents, n_parts, staged
 
 BAD = "label=bad"
 MIN_SUPPORT = 0.002
-#: Labelled urls that a combination needs at least, however few there are.
+#: Bad urls that a combination needs at least, however few there are.
 MIN_COUNT = 20
-MIN_CONFIDENCE = 0.8
+#: Share of the labelled urls with a combination that are bad, at least.
+MIN_CONFIDENCE = 0.6
+#: The lower bound of that share, at this many standard errors, is at least so many times the share of all labelled urls.
+MIN_LIFT = 1.5
+ERRORS = 2.33
 #: Index entries that are broadcast; beyond, a plain join.
 MAX_BROADCAST = 50_000
 #: Given rules: host and path, verdict.
@@ -48,13 +54,15 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens: the scheme, labels of the host, segments of the path, and keys and pairs of the query."""
+    """Distinct tokens: the scheme, the registered domain, labels of the host and their words, words of the path, and keys and pairs of the query."""
     lowered = F.lower(F.coalesce(url, F.lit("")))
     scheme = F.regexp_extract(lowered, r"(?s)^(.*?)://", 1)
     query = F.regexp_extract(lowered, r"(?s)\?([^#]*)", 1)
     parts = F.concat(
         F.array(F.concat(F.lit("scheme:"), scheme)),
+        F.array(F.concat(F.lit("site:"), F.regexp_extract(host_of(lowered), r"([^.]+\.[^.]+)$", 1))),
         F.transform(F.split(host_of(lowered), r"\."), lambda x: F.concat(F.lit("host:"), x)),
+        F.transform(F.split(host_of(lowered), r"[.-]"), lambda x: F.concat(F.lit("word:"), x)),
         F.transform(F.split(path_of(lowered), r"[/._-]"), lambda x: F.concat(F.lit("path:"), x)),
         F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), x)),
         F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("key:"), F.split(x, "=")[0])),
@@ -62,6 +70,12 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: ~x.endswith(":")))
 
 
+def lower_bound(share: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share of ``n`` seen, ``ERRORS`` standard errors away."""
+    z = ERRORS
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def mined_rules(labelled: DataFrame) -> DataFrame:
     """``tokens, confidence`` of combinations that predict a bad label; ``labelled`` has ``tokens`` and ``bad``.
 
@@ -82,7 +96,9 @@ def mined_rules(labelled: DataFrame) -> DataFrame:
     if not n or not baskets.where(F.array_contains("items", BAD)).limit(1).count():
         return rows.select(F.col("tokens"), F.lit(0.0).alias("confidence")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=MIN_CONFIDENCE, numPartitions=n_parts(labelled.sparkSession)).fit(baskets)
+    base = rows.agg(F.avg(F.col("bad").cast("double"))).first()[0]
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+    found = found.where(lower_bound(F.col("confidence"), F.round(F.col("support") * n / F.col("confidence"))) >= MIN_LIFT * base)
     rules = staged(found.select(F.sort_array("antecedent").alias("tokens"), "confidence"), "rules")
     # A rule whose tokens less one are a rule as well adds nothing.
     shorter = rules.select("tokens", F.explode("tokens").alias("t")).select("tokens", F.array_remove("tokens", F.col("t")).alias("less"))
