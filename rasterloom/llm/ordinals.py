@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
+from .winnow import unused_name
 
 #: Rows of a key and bucket that one window sorts, about.
 ROWS = 50_000
@@ -18,15 +19,16 @@ def with_ordinals(df: DataFrame, key: str, order: list[Column], name: str, sprea
     that comes first in the order, so a key of any size is sorted by many tasks. Ties
     in ``spread`` and ``order`` are rows that callers can't tell apart.
     """
+    hash_, bucket, count, rank, base = (unused_name(df, x) for x in ("hash", "bucket", "count", "rank", "base"))
     buckets = 1
     while buckets * ROWS < n_rows:
         buckets *= 2
     bits = buckets.bit_length() - 1
-    placed = df.withColumn("_hash", spread).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits) if bits else F.lit(0).cast("long"))
-    sizes = staged(placed.groupBy(key, "_bucket").agg(F.count("*").alias("_n")), "bucket-sizes")
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn(hash_, spread).withColumn(bucket, F.shiftrightunsigned(hash_, 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = staged(placed.groupBy(key, bucket).agg(F.count("*").alias(count)), "bucket-sizes")
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # A row for each key and bucket: as many buckets as needed for ROWS rows each.
-    bases = sizes.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(key, "_bucket").orderBy("_hash", *order)
-    ranked = placed.withColumn("_rank", F.row_number().over(within) - 1)
-    return ranked.join(bases, [key, "_bucket"]).withColumn(name, F.col("_base") + F.col("_rank")).drop("_hash", "_bucket", "_rank", "_base")
+    bases = sizes.select(key, bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(key, bucket).orderBy(hash_, *order)
+    ranked = placed.withColumn(rank, F.row_number().over(within) - 1)
+    return ranked.join(bases, [key, bucket]).withColumn(name, F.col(base) + F.col(rank)).drop(hash_, bucket, rank, base)
