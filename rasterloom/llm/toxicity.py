@@ -66,7 +66,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
-    """Fits the classifier to ``(positive, features as little-endian int32)`` rows by Adam on the whole sample."""
+    """Fits the classifier by Adam on the whole sample.
+
+    Rows are ``(positive, features)``: distinct features with their counts, as
+    pairs of little-endian int32.
+    """
     weights = np.zeros(1 << BITS)
     positive = np.array([p for p, _ in rows], dtype=bool)
     if not positive.any() or positive.all() or not 0 < prior < 1:
@@ -75,14 +79,14 @@ def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
     frequent = np.zeros(1 << BITS, dtype=np.int64)
     for is_positive, f in rows:
         if is_positive:
-            frequent[np.unique(np.frombuffer(f, dtype="<i4"))] += 1
+            frequent[np.frombuffer(f, dtype="<i4")[::2]] += 1
     common = frequent >= max(3, positive.sum() // 200)
     held, totals = [], np.ones(len(rows))
     for i, (_, f) in enumerate(rows):
-        found = np.frombuffer(f, dtype="<i4")
-        totals[i] = max(1, len(found))
-        name, count = np.unique(found[common[found]], return_counts=True)
-        held.append((name, count.astype(np.float32)))
+        name, count = np.frombuffer(f, dtype="<i4").reshape(-1, 2).T
+        totals[i] = max(1, int(count.sum()))
+        keep = common[name]
+        held.append((name[keep], count[keep].astype(np.float32)))
     row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in held])
     columns = np.concatenate([f for f, _ in held])
     counts = np.concatenate([c for _, c in held])
@@ -147,13 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             out = []
             for t in text_bytes(b.column("text")):
-                out.append(features([t])[0].astype("<i4").tobytes())
+                counted = np.stack(np.unique(features([t])[0], return_counts=True), axis=1)
+                out.append(counted.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), pa.array(out, pa.binary())], ["doc_id", "positive", "features"])
 
     # At most MAX_POSITIVE + MAX_UNLABELLED ids, so the broadcast is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(p.union(u).distinct()), "doc_id")
-    rows = sample.mapInArrow(run, "doc_id long, positive boolean, features binary").collect()
-    rows.sort(key=lambda r: (r.positive, r.doc_id, r.features))
+    # One row for each id and side, so repeated rows don't multiply; a row has each feature once.
+    held = sample.mapInArrow(run, "doc_id long, positive boolean, features binary").groupBy("doc_id", "positive").agg(F.min("features").alias("features"))
+    rows = held.collect()
+    rows.sort(key=lambda r: (r.positive, r.doc_id))
     return train([(r.positive, bytes(r.features)) for r in rows], float(prior))
 
 
@@ -180,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Scores see the text alone. Null and empty texts have no features and get the
     score of the bias. Repeated rows score alike. Of several labels of a
     document the highest counts; null labels and labels without a document are
-    ignored. Without a confirmed toxic document every score is 0. Rows with a
+    ignored. A doc_id is learnt from once; of several texts one counts. Without a confirmed toxic document every score is 0. Rows with a
     null doc_id are scored and never learnt from. Other columns are ignored.
     """
     model = fit(docs, labels)
