@@ -31,9 +31,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session without one (tests) gets its own."""
+    """The cluster's shared folder; only a local session without one (tests) gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +60,17 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, size: int, per_task: int) -> None:
+    """Lets shuffles of ``size`` bytes start from as many partitions as keep a task at ``per_task``; the runtime joins small ones."""
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(setting, str(max(n_parts(spark), int(spark.conf.get(setting, None) or 0), size // per_task)))
+
+
+def digest_of(text: F.Column | str) -> F.Column:
+    """The SHA-256 of a text's bytes."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hints a broadcast of a staged table only after counting its rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, staged, text_bytes, trim
+from .common import digest_of, documents, staged, text_bytes, trim
 from .words import Words, chunks, gram_hashes, sliding_min, split_words
 
 WINDOW = 13
 GRAM = 7
-#: Benchmark text that is broadcast at once; a larger benchmark goes in several blocks.
+#: Benchmark text that is broadcast; a larger benchmark is joined.
 BLOCK_BYTES = 16 << 20
 #: A document is contaminated if this many times its hit words reach its words.
 SHARE = 20
 
 HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_HIT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 _FILTER = 1 << 20
 
 
@@ -38,7 +39,7 @@ def window_fingerprints(words: Words, length: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """Windows of one block of the benchmark, by window length."""
+    """Windows of a small benchmark, by window length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
         self.windows: dict[int, dict[bytes, set[str]]] = defaultdict(dict)
@@ -90,15 +91,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about ``BLOCK_BYTES`` of text, one at a time on the driver."""
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
-    for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
-
-
 def unused_name(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = f"_{name}"
@@ -109,19 +101,108 @@ def with_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str]:
     """``docs(text, ...)`` with a struct column of hits, and that column's name.
 
     The struct has ``n_words``, ``spans`` (starts and ends of hit words, flat) and
-    ``items`` (ids, sorted as strings). No row moves: each block of the
-    benchmark is one more pass within the same tasks. Null and empty texts have
+    ``items`` (ids, sorted as strings). A benchmark of up to ``BLOCK_BYTES`` is
+    broadcast and no row moves; the fingerprints of a larger one are joined. Both
+    give the same hits. Null and empty texts have
     no words and no hits; null items have none either, and a null item_id marks
     words but is in no list. Repeated rows and items count once each per row.
     An empty benchmark hits nothing. Other columns pass through unchanged.
     """
     name = unused_name(docs, "hit")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     out = docs.withColumn(name, F.lit(None).cast(HIT))
-    context = docs.sparkSession.sparkContext
-    for block in benchmark_blocks(benchmark):
-        shared = context.broadcast(block)
-        out = out.mapInArrow(_pass(shared, name, docs.columns.index("text")), out.schema)
-    return out, name
+    if size > BLOCK_BYTES:
+        return _by_join(docs, items, name, out.schema), name
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    return out.mapInArrow(_pass(shared, name, docs.columns.index("text")), out.schema), name
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the items with its fingerprint and length."""
+    for b in batches:
+        for item, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+            words = split_words([text])
+            n = len(words.starts)
+            if not n:
+                continue
+            length = min(WINDOW, n)
+            prints = window_fingerprints(words, length).view(np.int64)
+            windows = [words.joined(i, length) for i in range(len(prints))]
+            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array([length] * len(prints), pa.int32()), pa.array(windows, pa.binary()), pa.array([item] * len(prints), pa.string())], ["print", "length", "window", "item"])
+
+
+def _text_prints(lengths: list[int]):
+    """Distinct fingerprints of each text's windows: some quarter as many as words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = np.unique(b.column(1).to_numpy(zero_copy_only=False), return_index=True)[1]  # copies go once
+            b = b.take(pa.array(first))
+            keys = b.column(1).to_numpy(zero_copy_only=False)
+            for at, part in chunks(text_bytes(b.column(0))):
+                words = split_words(part)
+                text_of = words.texts()
+                for length in lengths:
+                    found = window_fingerprints(words, length)
+                    inside = np.flatnonzero(text_of[: len(found)] == text_of[length - 1 :])
+                    own = np.unique(np.stack([keys[at + text_of[inside]], found[inside].view(np.int64)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], ["h", "print"])
+            trim()
+
+    return run
+
+
+def _text_windows(lengths: list[int]):
+    """Windows of each text whose fingerprint is among its joined ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for digest, text, prints in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2), strict=True):
+                words = split_words([text])
+                wanted = prints.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                for length in lengths:
+                    at = np.flatnonzero(np.isin(window_fingerprints(words, length), wanted)).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(at), pa.binary()), pa.array(at, pa.int64()), pa.array([length] * len(at), pa.int32()), pa.array([words.joined(i, length) for i in at], pa.binary())], ["digest", "start", "length", "window"])
+            trim()
+
+    return run
+
+
+def _by_join(docs: DataFrame, items: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+    """Hits by a join of fingerprints, then of the windows that these leave, word for word.
+
+    Fingerprints of the texts meet those of the items; only texts that share one
+    give windows, and these are joined by length and words. Copies of a text are
+    looked up once.
+    """
+    windows = staged(items.select("item", "text").mapInArrow(_item_windows, "print long, length int, window binary, item string").distinct(), "item-windows")
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # WINDOW at most
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("h"))
+    own = texts.mapInArrow(_text_prints(lengths), "h long, print long")
+    joined = staged(own.join(windows.select("print").distinct(), "print", "left_semi").distinct(), "joined-prints")
+    wanted = joined.groupBy("h").agg(F.collect_list("print").alias("prints"))
+    bodies = texts.join(wanted, "h").select(digest_of("text").alias("digest"), "text", "prints").dropDuplicates(["digest"])
+    found = bodies.mapInArrow(_text_windows(lengths), "digest binary, start long, length int, window binary")
+    exact = found.join(windows.drop("print"), ["length", "window"])
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
+    hits = staged(exact.groupBy("digest").agg(F.collect_set(span).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")), "joined-hits")
+    key = unused_name(docs, "digest")
+    keyed = docs.withColumn(key, digest_of(text)).join(hits.select(F.col("digest").alias(key), F.struct("spans", "items").alias(name)), key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), name)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [n for _, part in chunks(text_bytes(b.column(text_at))) for n in split_words(part).counts().tolist()]
+            rows = []
+            for n, hit in zip(counts, b.column(b.num_columns - 1).to_pylist(), strict=True):
+                spans = merged([(x["start"], x["end"]) for x in hit["spans"]]) if hit else []
+                rows.append({"n_words": n, "spans": [x for s in spans for x in s], "items": sorted(hit["items"]) if hit else []})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _HIT)], names=b.schema.names)
+            trim()
+
+    return keyed.mapInArrow(run, schema)
 
 
 def _pass(shared, name: str, text_at: int):
@@ -129,17 +210,12 @@ def _pass(shared, name: str, text_at: int):
         block = Fingerprints(shared.value)
         for b in batches:
             texts = text_bytes(b.column(text_at))
-            before = b.column(b.num_columns - 1).to_pylist()
             rows = []
-            for first, part in chunks(texts):
-                for k, (n, spans, items) in enumerate(block.hits(part), first):
-                    old = before[k] or {"spans": [], "items": []}
-                    flat = old["spans"] or []
-                    spans = merged(spans + list(zip(flat[::2], flat[1::2], strict=True)))
-                    rows.append({"n_words": n, "spans": [x for s in spans for x in s], "items": sorted(items.union(old["items"] or []))})
-            kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], names=[*b.schema.names[:-1], name])
-            del texts, before, rows
+            for _, part in chunks(texts):
+                for n, spans, items in block.hits(part):
+                    rows.append({"n_words": n, "spans": [x for s in spans for x in s], "items": sorted(items)})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _HIT)], names=[*b.schema.names[:-1], name])
+            del texts, rows
             trim()
 
     return run
