@@ -10,8 +10,9 @@
 3. An anchor that very many texts hold would fill its shard. Its windows are
    grouped within each batch of texts, cut into ranges of their hashes and merged
    across batches: each batch finds its windows in the merged range by binary search.
-4. A document that repeats the whole text of a smaller one is removed at once
-   and takes no part in the above.
+   Hashes only deal and order these windows; their bytes are compared.
+4. A document that repeats the whole text of a smaller one, told by its SHA-256, is
+   removed at once and takes no part in the above.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, n_parts, staged, text_bytes, trim
+from .common import digest_of, documents, mix64, n_parts, staged, tasks_for, text_bytes, trim
 from .suffix_array import window_order
 from .winnow import unused_name
 from .words import sliding_min
@@ -41,9 +43,21 @@ SHARD_BYTES = 4 << 20
 RANGE_WINDOWS = 500_000
 #: A text longer than this is walked in overlapping parts.
 PART = 1 << 19
-_OCCURRENCE = np.dtype([("segment", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<u2")])
-_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8")])
-_PLACE = np.dtype([("window", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<u2")])
+#: Text that a task of a join reads, about.
+TASK_BYTES = 8 << 20
+_OCCURRENCE = np.dtype([("segment", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<i8")])
+_WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("body", "u1", (WIDTH,))])
+_PLACE = np.dtype([("window", "<u4"), ("start", "<u4"), ("row", "<u4")])
+_ROW = np.dtype([("doc", "<i8"), ("tag", "<i8")])
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(cell: pa.Scalar) -> bytes:
+    packed = cell.as_py()
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -125,6 +139,14 @@ def _dest(texts: np.ndarray, dests: int) -> np.ndarray:
     return ((texts.view(np.uint64) >> np.uint64(32)) * np.uint64(dests)) >> np.uint64(32)
 
 
+def _firsts_of(texts: list[bytes], keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct texts with their keys."""
+    first: dict[bytes, int] = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    return list(first), keys[list(first.values())]
+
+
 def _anchors(buckets: int):
     """Per batch and bucket of hashes: which texts hold which anchors.
 
@@ -139,7 +161,7 @@ def _anchors(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = text_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            texts, keys = _firsts_of(text_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
             found, owners = [], []
             for joined in _parts(texts):
                 h, first, _ = anchor_runs(joined.data, joined.part_of)
@@ -228,8 +250,11 @@ def _shared(dests: int):
 def _by_text(table: pa.Table) -> pa.Table:
     """Of one range of texts: each text's shared anchors, the crowded ones apart."""
     text, anchor, crowded = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(n)]) for n, t in (("texts", "<i8"), ("anchors", "<u4"), ("crowded", "u1")))
-    order = np.lexsort((crowded, text))
+    order = np.lexsort((anchor, crowded, text))
     text, anchor, crowded = text[order], anchor[order], crowded[order]
+    # Batches that hold copies of a text each tell it of its crowded anchors.
+    once = np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (crowded[1:] != crowded[:-1])])
+    text, anchor, crowded = text[once], anchor[once], crowded[once]
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     last = np.append(first[1:], len(text))
     middle = last - np.add.reduceat(crowded.astype(np.int64), first)
@@ -244,19 +269,25 @@ def _segments(shards: int, ranges: int):
     """Cuts the windows of shared anchors out of texts.
 
     ``kind`` 0: segments for a shard. 1: sorted windows of crowded anchors of
-    this batch, a row for each range. 2: where this batch holds them.
+    this batch, a row for each range. 2: where this batch holds them. A batch is
+    named by its task, which writes a table, and its number there.
     """
 
     def row(kind: int, key: int, batch: int, a: bytes, b: bytes, c: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "key": pa.array([key], pa.int64()), "batch": pa.array([batch], pa.int64()), "a": [a], "b": [b], "c": [c]})
+        packed = {k: pa.array([squeezed(x)], pa.binary()) for k, x in (("a", a), ("b", b), ("c", c))}
+        return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "key": pa.array([key], pa.int64()), "batch": pa.array([batch], pa.int64()), **packed})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = text_bytes(b.column(0))
+        task = TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
             docs = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            tags = b.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            tags = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            once = np.sort(np.unique(np.stack([docs, tags]), axis=1, return_index=True)[1])
+            if len(once) < len(docs):  # rows that repeat a document
+                b, docs, tags = b.take(pa.array(once)), docs[once], tags[once]
+            texts = text_bytes(b.column(0))
             wanted = [_wanted(b.column(k)) for k in (3, 4)]
-            batch = int(mix64(np.array([docs[0]], dtype=np.int64).view(np.uint64) ^ tags[:1])[0] >> np.uint64(1))
+            batch = task << 32 | number
             sets: dict[int, tuple[dict[bytes, int], list]] = {}
             loud_windows, loud_places = [], []
             for joined in _parts(texts):
@@ -264,7 +295,7 @@ def _segments(shards: int, ranges: int):
                 text = joined.text(first)
                 key = (text.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
                 at = np.flatnonzero(_among(key, wanted[0]))
-                columns = (h[at] % np.uint64(shards), first[at], last[at] + WIDTH, joined.place(first[at]), docs[text[at]], tags[text[at]] & np.uint64(0xFFFF))
+                columns = (h[at] % np.uint64(shards), first[at], last[at] + WIDTH, joined.place(first[at]), docs[text[at]], tags[text[at]])
                 for shard, a, z, place, doc, tag in zip(*(c.tolist() for c in columns), strict=True):
                     held, places = sets.setdefault(shard, ({}, []))
                     places.append((held.setdefault(joined.raw[a:z], len(held)), place, doc, tag))
@@ -272,26 +303,28 @@ def _segments(shards: int, ranges: int):
                 if len(loud):
                     n = last[loud] - first[loud] + 1
                     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[loud], n)
-                    loud_windows.append(_window_hashes(joined.data, at))
                     places = np.zeros(len(at), dtype=_PLACE)
-                    owner = joined.text(at)
-                    places["start"], places["doc"], places["tag"] = joined.place(at), docs[owner], tags[owner] & np.uint64(0xFFFF)
+                    places["start"], places["row"] = joined.place(at), joined.text(at)
+                    windows = np.zeros(len(at), dtype=_WINDOW)
+                    windows["hash"], windows["doc"] = _window_hashes(joined.data, at), docs[places["row"]]
+                    windows["body"] = np.lib.stride_tricks.sliding_window_view(joined.data, WIDTH)[at]
+                    windows, of = _grouped(windows)
+                    places["window"] = of + sum(map(len, loud_windows))
+                    loud_windows.append(windows)
                     loud_places.append(places)
             for shard, (held, places) in sets.items():
                 sizes = np.array([len(s) for s in held], dtype="<u4")
                 yield row(0, shard, batch, b"".join(held), sizes.tobytes(), np.array(places, dtype=_OCCURRENCE).tobytes())
             if loud_windows:
-                windows, places = np.concatenate(loud_windows), np.concatenate(loud_places)
-                names, of = np.unique(windows, axis=0, return_inverse=True)
-                sorted_ = np.zeros(len(names), dtype=_WINDOW)
-                sorted_["high"], sorted_["low"] = names[:, 0], names[:, 1]
-                sorted_["doc"] = np.iinfo(np.int64).max
-                np.minimum.at(sorted_["doc"], of.ravel(), places["doc"])
-                places["window"] = of.ravel()
-                yield row(2, 0, batch, places.tobytes(), b"", b"")
+                places = np.concatenate(loud_places)
+                sorted_, of = _grouped(np.concatenate(loud_windows))
+                places["window"] = of[places["window"]]
+                rows = np.zeros(len(docs), dtype=_ROW)
+                rows["doc"], rows["tag"] = docs, tags
+                yield row(2, 0, batch, places.tobytes(), rows.tobytes(), b"")
                 # The sorted windows are cut at even hash bounds, found by binary search.
                 bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
-                cuts = [0, *np.searchsorted(sorted_["high"], bounds).tolist(), len(sorted_)]
+                cuts = [0, *np.searchsorted(sorted_["hash"], bounds).tolist(), len(sorted_)]
                 for r, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < z:
                         yield row(1, r, batch, sorted_[a:z].tobytes(), b"", b"")
@@ -316,15 +349,34 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of the window at each position."""
+    """A 64-bit hash of the window at each position."""
     eight = _eights(data)
-    out = np.zeros((len(at), 2), dtype=np.uint64)
-    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        h = np.full(len(at), k + 1, dtype=np.uint64)
-        for step in [*range(0, WIDTH - 8, 8), WIDTH - 8]:
-            h = mix64((h ^ eight[at + step]) * np.uint64(odd))
-        out[:, k] = h
-    return out
+    h = np.ones(len(at), dtype=np.uint64)
+    for step in [*range(0, WIDTH - 8, 8), WIDTH - 8]:
+        h = mix64((h ^ eight[at + step]) * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def _grouped(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows by hash and then bytes, each with its smallest document, and which of them each window is."""
+    order = np.argsort(windows["hash"], kind="stable")
+    for ties in (False, True):
+        if ties:  # different windows with one hash
+            order = np.lexsort((*windows["body"].T[::-1], windows["hash"]))
+        ordered = windows[order]
+        alike = ordered["hash"][1:] == ordered["hash"][:-1]
+        same = alike.copy()
+        near = np.flatnonzero(alike)
+        same[near] = (ordered["body"][near] == ordered["body"][near + 1]).all(axis=1)
+        if (same == alike).all():
+            break
+    new = np.concatenate([[True], ~same])
+    first = np.flatnonzero(new)
+    out = ordered[first]
+    out["doc"] = np.minimum.reduceat(ordered["doc"], first)
+    of = np.empty(len(windows), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return out, of
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -335,7 +387,7 @@ def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> pa.RecordBatc
     new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + WIDTH)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first].astype(np.int32)), pa.array(start[first]), pa.array(start[last] + WIDTH)], ["doc", "tag", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first].astype(np.int64)), pa.array(start[first]), pa.array(start[last] + WIDTH)], ["doc", "tag", "start", "end"])
 
 
 def _shard_spans(table: pa.Table) -> pa.Table:
@@ -343,11 +395,11 @@ def _shard_spans(table: pa.Table) -> pa.Table:
     names: dict[bytes, int] = {}
     places = []
     for a, b, c in zip(table.column("a"), table.column("b"), table.column("c"), strict=True):
-        body, at, own = a.as_py(), 0, []
-        for n in np.frombuffer(b.as_py(), "<u4").tolist():
+        body, at, own = unsqueezed(a), 0, []
+        for n in np.frombuffer(unsqueezed(b), "<u4").tolist():
             own.append(names.setdefault(body[at : at + n], len(names)))
             at += n
-        p = np.frombuffer(c.as_py(), _OCCURRENCE).copy()
+        p = np.frombuffer(unsqueezed(c), _OCCURRENCE).copy()
         p["segment"] = np.array(own, dtype="<u4")[p["segment"]]
         places.append(p)
     place = np.concatenate(places)
@@ -376,38 +428,33 @@ def _shard_spans(table: pa.Table) -> pa.Table:
 
 def _merged_range(table: pa.Table) -> pa.Table:
     """Smallest document of each window of a range, returned to every batch in the order of its windows."""
-    runs = [np.frombuffer(x.as_py(), _WINDOW) for x in table.column("a")]
-    every = np.concatenate(runs)
-    every = every[np.lexsort((every["doc"], every["low"], every["high"]))]
-    new = np.concatenate([[True], (every["high"][1:] != every["high"][:-1]) | (every["low"][1:] != every["low"][:-1])])
-    merged = every[new]
+    runs = [np.frombuffer(unsqueezed(x), _WINDOW) for x in table.column("a")]
+    merged = _grouped(np.concatenate(runs))[0]
     answers = []
     for r in runs:
-        at = np.searchsorted(merged["high"], r["high"])
-        while (wrong := np.flatnonzero(merged["low"][at] != r["low"])).size:  # equal first halves
+        at = np.searchsorted(merged["hash"], r["hash"])
+        while (wrong := np.flatnonzero((merged["body"][at] != r["body"]).any(axis=1))).size:  # other windows with this hash
             at[wrong] += 1
-        answers.append(merged["doc"][at].tobytes())
+        answers.append(squeezed(np.ascontiguousarray(merged["doc"][at]).tobytes()))
     return pa.table({"batch": table.column("batch"), "range": table.column("key"), "docs": pa.array(answers, pa.binary())})
 
 
 def _crowded_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for raw, answers in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            place = np.frombuffer(raw.as_py(), _PLACE)
-            low = np.concatenate([np.frombuffer(x["docs"], "<i8") for x in sorted(answers, key=lambda x: x["range"])])
-            hit = low[place["window"]] < place["doc"]
-            yield _spans(place["doc"][hit], place["tag"][hit], place["start"][hit])
-
-
-def second_hash(text: F.Column | str) -> F.Column:
-    """A hash of ``text`` beside ``xxhash64(text)``. The salt comes first: each argument's hash seeds the next, so a last one would add nothing."""
-    return F.xxhash64(F.lit(1), text)
+        for raw, names, answers in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            place, rows = np.frombuffer(unsqueezed(raw), _PLACE), np.frombuffer(unsqueezed(names), _ROW)
+            held = answers.values
+            order = np.argsort(held.field("range").to_numpy(zero_copy_only=False))
+            low = np.concatenate([np.frombuffer(unsqueezed(held.field("docs")[int(k)]), "<i8") for k in order])
+            own = rows[place["row"]]
+            hit = low[place["window"]] < own["doc"]
+            yield _spans(own["doc"][hit], own["tag"][hit], place["start"][hit])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text, ...)``: ``doc_id, h1, copy, spans``.
+    """Per document of ``docs(doc_id, text, ...)``: ``doc, digest, copy, spans``; rows that repeat one have one.
 
-    ``h1`` is xxhash64 of the text (null as empty). ``copy`` says that a smaller
+    ``digest`` is the SHA-256 of the text (null as empty). ``copy`` says that a smaller
     document has the same text; else ``spans`` lists spans to remove, which may
     touch or overlap (empty or null if there are none). A null doc_id counts as
     larger than all others.
@@ -416,10 +463,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(doc.alias("doc"), text.alias("text"))
-    known = staged(rows.select("doc", F.xxhash64("text").alias("h1"), second_hash("text").alias("h2"), F.octet_length("text").cast("long").alias("n")), "texts")
+    known = staged(rows.select("doc", F.xxhash64("text").alias("h1"), digest_of("text").alias("digest"), F.octet_length("text").cast("long").alias("n")), "texts")
     # As a table of its own its join with the texts can split a text that very many rows repeat.
-    firsts = staged(known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("first")), "firsts")
+    firsts = staged(known.groupBy("h1", "digest", "n").agg(F.min("doc").alias("first")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
+    tasks_for(spark, known.agg(F.sum("n")).first()[0] or 0, TASK_BYTES)
     buckets = max(n_parts(spark) // 2, 1 + total // (15 * BUCKET_ANCHORS))
     anchored = rows.where(F.octet_length("text") >= WIDTH).select("text", F.xxhash64("text").alias("h1"))
     held = anchored.mapInArrow(_anchors(buckets), "kind int, key long, texts binary, counts binary, anchors binary, crowded binary")
@@ -427,23 +475,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = staged(shared.groupBy("key").applyInArrow(_by_text, "h1 long, quiet binary, loud binary"), "shared-anchors")
     sums = wanted.agg(F.sum(F.octet_length("quiet")), F.sum(F.octet_length("loud"))).first()
     quiet, loud = (sums[0] or 0) // 4, (sums[1] or 0) // 4
-    # One row of each distinct text, and only if it shares an anchor.
-    chosen = firsts.where(F.col("n") >= WIDTH).select(F.col("first").alias("doc"), "h1", "h2").join(wanted, "h1")
-    bodies = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", second_hash("text"))
-    to_cut = bodies.join(chosen, "doc").where((F.col("x1") == F.col("h1")) & (F.col("x2") == F.col("h2")))
-    to_cut = to_cut.select("text", "doc", F.col("h1").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "quiet", "loud")
+    # The smallest document of each distinct text, and only if it shares an anchor.
+    chosen = firsts.where(F.col("n") >= WIDTH).select(F.col("first").alias("doc"), "digest", "h1").join(wanted, "h1")
+    bodies = rows.where(F.octet_length("text") >= WIDTH).withColumn("digest", digest_of("text"))
+    to_cut = bodies.join(chosen, ["doc", "digest"]).select("text", "doc", "h1", "quiet", "loud")
     shards, ranges = 1 + quiet * 66 // SHARD_BYTES, 1 + loud * 16 // RANGE_WINDOWS
     cut = to_cut.mapInArrow(_segments(max(shards, n_parts(spark)), ranges), "kind int, key long, batch long, a binary, b binary, c binary")
     cut = staged(cut, "segments")
-    spans = cut.where("kind = 0").groupBy("key").applyInArrow(_shard_spans, "doc long, tag int, start long, end long")
+    spans = cut.where("kind = 0").groupBy("key").applyInArrow(_shard_spans, "doc long, tag long, start long, end long")
     if loud:
         ranged = cut.where("kind = 1").select("key", "batch", "a").groupBy("key").applyInArrow(_merged_range, "batch long, range long, docs binary")
         answers = ranged.groupBy("batch").agg(F.collect_list(F.struct("range", "docs")).alias("answers"))
-        places = cut.where("kind = 2").select("batch", F.col("a").alias("places"))
-        spans = spans.union(places.join(answers, "batch").select("places", "answers").mapInArrow(_crowded_spans, "doc long, tag int, start long, end long"))
-    by_doc = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    named = known.join(firsts, ["h1", "h2", "n"]).select("doc", "h1", "h2", (F.col("doc") > F.col("first")).alias("copy"), F.col("h1").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")).distinct()
-    return staged(named.join(by_doc, ["doc", "tag"], "left").select("doc", "h1", "h2", "copy", "spans"), "spans")
+        places = cut.where("kind = 2").select("batch", F.col("a").alias("places"), F.col("b").alias("names"))
+        spans = spans.union(places.join(answers, "batch").select("places", "names", "answers").mapInArrow(_crowded_spans, "doc long, tag long, start long, end long"))
+    by_doc = spans.groupBy("doc", F.col("tag").alias("h1")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    named = known.join(firsts, ["h1", "digest", "n"]).select("doc", "h1", "digest", (F.col("doc") > F.col("first")).alias("copy")).distinct()
+    return staged(named.join(by_doc, ["doc", "h1"], "left").select("doc", "digest", "copy", "spans"), "spans")
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -483,10 +530,10 @@ def _removals(b: pa.RecordBatch, text_at: int) -> Iterator[tuple[bytes, list[tup
 def _with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``copy`` and ``spans`` last, under unused names."""
     found = repeated_spans(docs)
-    names = [unused_name(docs, n) for n in ("copy", "spans", "doc", "x1", "x2")]
+    names = [unused_name(docs, n) for n in ("copy", "spans", "doc", "digest")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({names[2]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[3]: F.xxhash64(text), names[4]: second_hash(text)})
-    found = found.select(F.col("doc").alias(names[2]), F.col("h1").alias(names[3]), F.col("h2").alias(names[4]), F.col("copy").alias(names[0]), F.col("spans").alias(names[1]))
+    keyed = docs.withColumns({names[2]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), names[3]: digest_of(text)})
+    found = found.select(F.col("doc").alias(names[2]), F.col("digest").alias(names[3]), F.col("copy").alias(names[0]), F.col("spans").alias(names[1]))
     return keyed.join(found, names[2:]).select(*(keyed[f"`{c}`"] for c in docs.columns), names[0], names[1])
 
 

@@ -134,3 +134,26 @@ def test_spans_keep_whole_characters():
     assert substrings.within_characters(text, [(2, 4)]) == [(3, 4)]
     assert substrings.within_characters(text, [(0, 2)]) == [(0, 1)]
     assert substrings.union_of([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+
+
+def test_rows_that_repeat_one_document(spark, monkeypatch):
+    """One row fills several batches, and very many documents share one text."""
+    monkeypatch.setattr(substrings, "RANGE_WINDOWS", 300)
+    rng = random.Random(9)
+    text_of = lambda rng, n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    shared = "a passage that three documents share and that is well over fifty bytes long, as told"
+    body = text_of(rng, 60) + shared + text_of(rng, 50)
+    copies = [(20_000 + i, "one text that very many documents hold, whole, which makes copies of all but one") for i in range(5000)]
+    rows = spark.createDataFrame([(1, text_of(rng, 40) + shared), *[(2, body)] * 2500, (9000, "x" + shared), *copies], "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in substrings.span_digests(rows).collect()}
+    assert substrings.span_digests(rows).count() == 7502
+    assert got == set(brute_spans(list({tuple(r) for r in rows.collect()})))
+
+
+def test_windows_with_one_hash_are_told_by_their_bytes():
+    rows = np.zeros(6, dtype=substrings._WINDOW)
+    rows["body"][:, 49] = [3, 1, 3, 2, 1, 3]
+    rows["doc"] = [9, 8, 7, 6, 5, 4]
+    names, of = substrings._grouped(rows)
+    assert names["body"][:, 49].tolist() == [1, 2, 3] and names["doc"].tolist() == [5, 6, 4]
+    assert of.tolist() == [2, 0, 2, 1, 0, 2]

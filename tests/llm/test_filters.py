@@ -171,3 +171,148 @@ def test_communication_matrix():
     assert sorted(m.sum(axis=0).tolist()) == [19] * 2 + [20] * 6
 
 
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(30, 50, 20), (50, 30, 70), (400, 3000, 900), (7, 9, 8), (100, 100, 1)])
+def test_large_urns_follow_the_exact_law(good, bad, sample):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    seen = np.bincount([sharding._hypergeometric(rng, good, bad, sample, limit=0) for _ in range(n)], minlength=good + 1)
+    law = np.array([math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) if k <= sample and sample - k <= bad else 0.0 for k in range(good + 1)])
+    assert not seen[law == 0].any()
+    often = n * law >= 5
+    chi = ((seen - n * law)[often] ** 2 / (n * law)[often]).sum()
+    assert chi < often.sum() + 5 * math.sqrt(2 * often.sum()) + 5
+
+
+def test_huge_urns():
+    rng = np.random.default_rng(5)
+    good, bad, sample = 3 * 10**12, 7 * 10**12, 10**9
+    draws = np.array([sharding._hypergeometric(rng, good, bad, sample) for _ in range(3000)], dtype=np.float64)
+    spread = math.sqrt(sample * 0.21 * (1 - sample / (good + bad)))
+    assert abs(draws.mean() - 0.3 * sample) < 5 * spread / math.sqrt(3000)
+    assert 0.95 < draws.std() / spread < 1.05
+    assert {sharding._hypergeometric(rng, 2 * 10**9, 0, 5), sharding._hypergeometric(rng, 0, 2 * 10**9, 5)} == {0, 5}
+
+
+def test_shuffles_are_uniform(spark):
+    """Every row is about equally often in every shard, whatever its partition and size of group."""
+    rows = spark.createDataFrame([(i,) for i in range(24)], "doc_id long")
+    seen = np.zeros((24, 8))
+    for seed in range(25):
+        for r in sharding.sharded(rows, ["doc_id"], seed=1000 + 7 * seed).collect():
+            seen[r.doc_id, r.shard] += 1
+    chi = ((seen - 25 / 8) ** 2 / (25 / 8)).sum()
+    assert chi < 24 * 7 + 6 * math.sqrt(2 * 24 * 7)
+
+
+def test_shards_of_clashing_names_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 50)
+    rows = spark.createDataFrame([(1, "x", 5, 6, 7)] * 700 + [(None, None, 1, 2, 3)] * 100, "doc_id long, text string, shard int, part int, hash int")
+    out = sharding.sharded(rows, ["doc_id", "text"])
+    assert out.columns == [*rows.columns, "_shard", "slot"]
+    got = out.collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["_shard"], []).append(r.slot)
+    assert {len(v) for v in slots.values()} == {100} and all(sorted(v) == list(range(100)) for v in slots.values())
+
+
+def test_cutoffs_count_a_text_once(spark):
+    """Copies and repeated rows prove nothing: 600 distinct good texts are too few, 1,200 are enough."""
+    for n, proven in ((600, False), (1200, True)):
+        labels = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, 0).otherwise(1).alias("quality"))
+        ratios = spark.range(12_000).select(
+            F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), F.when(F.col("id") % 10 == 0, -F.col("id")).otherwise(F.col("id") % n).alias("text_hash"),
+            F.when(F.col("id") % 10 == 0, 0.9).otherwise(0.001).alias("symbol_ratio"), *(F.lit(0.0).alias(r) for r in ("dup_line_ratio", "repeat_ratio", "word_length")),
+        )
+        found = quality.cutoffs(ratios.union(ratios), labels, "stratum").first()
+        assert (found is not None and found.max_symbol_ratio is not None) == proven
+
+
+def brute_rules(rows):
+    """Urls that some combination of tokens condemns, from all subsets of their tokens."""
+    from itertools import combinations
+
+    tokens = [frozenset(t) for t, _ in rows]
+    base = sum(b for _, b in rows) / len(rows)
+    seen = {}
+    for t, bad in rows:
+        for k in range(1, len(t) + 1):
+            for c in combinations(sorted(t), k):
+                n, m = seen.get(c, (0, 0))
+                seen[c] = (n + 1, m + bad)
+    z = urls.ERRORS
+    found = []
+    for c, (n, m) in seen.items():
+        p = m / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if m >= urls.MIN_COUNT and p >= urls.MIN_CONFIDENCE and low >= urls.MIN_LIFT * base:
+            found.append(frozenset(c))
+    return {i for i, t in enumerate(tokens) if any(c <= t for c in found)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mined_rules_match_all_combinations(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        t = sorted({rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))})
+        bad = rng.random() < (0.85 if {"a", "b"} <= set(t) or "h" in t and "c" not in t else 0.15)
+        rows.append((t, bad))
+    labelled = spark.createDataFrame([(t, b, str(i)) for i, (t, b) in enumerate(rows)], "tokens array<string>, bad boolean, url string")
+    mined = urls.mined_rules(labelled.select("tokens", "bad"))
+    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    got = {int(r.url) for r in urls.blocked_urls(labelled.select("url", "tokens"), mined, counts).collect()}
+    assert got == brute_rules(rows) and got
+
+
+def test_held_out_urls_are_caught(spark):
+    hosts = [("www.spam-farm.example.com", 0.9), ("spam-farm.example.net", 0.9), ("m.news.example.org", 0.1), ("blog.example.com", 0.1)]
+    rows = [(i, f"https://{hosts[i % 4][0]}/en/{i}", 0 if (i * 37 % 100) / 100 < hosts[i % 4][1] else 1) for i in range(1200)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(5000, "http://old.spam-farm.example.org/de/1"), (5001, "http://farm.example.org/de/1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i < 800], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judged_urls(pages, labels, rules=[]).collect()}
+    held = [i for i in range(800, 1200)]
+    assert all(got[i] == ("block" if i % 4 < 2 else "allow") for i in held)
+    assert got[5000] == "block" and got[5001] in ("allow", "block")
+
+
+def test_risk_matches_a_plain_computation():
+    """Weights after training lower the class-prior-corrected risk, computed feature by feature."""
+    rng = np.random.default_rng(1)
+    rows, dense = [], []
+    for i in range(300):
+        positive = i < 100
+        toxic = positive or i % 10 == 0
+        name = np.unique(rng.integers(0, 40, 12) + (40 if toxic else 0))
+        count = rng.integers(1, 4, len(name))
+        rows.append((positive, np.stack([name, count], axis=1).astype("<i4").tobytes()))
+        x = np.zeros(80)
+        x[name] = count / math.sqrt(count.sum())
+        dense.append(x)
+    model = toxicity.train(rows, 0.1)
+    assert not model.weights[80:].any()
+
+    def risk(w, b):
+        p = [1 / (1 + math.exp(-(b + float(x @ w)))) for x in dense]
+        plus = sum(-math.log(max(q, 1e-12)) for q in p[:100]) / 100
+        minus_p = sum(-math.log(max(1 - q, 1e-12)) for q in p[:100]) / 100
+        minus_u = sum(-math.log(max(1 - q, 1e-12)) for q in p[100:]) / 200
+        return 0.1 * plus + max(0.0, minus_u - 0.1 * minus_p)
+
+    w = model.weights[:80].astype(float)
+    assert risk(w, model.bias) < 0.5 * risk(np.zeros(80), 0.0)
+    scores = [model.bias + float(x @ w) for x in dense]
+    assert min(scores[:100]) > max(s for i, s in enumerate(scores) if i >= 100 and i % 10)
+
+
+def test_toxicity_learns_from_an_id_once(spark):
+    rows = [(i, "vile awful words" if i % 4 == 0 else f"fine plain words {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = once.union(once.where("doc_id < 40")).union(once.where("doc_id = 4"))
+    plain, repeated = toxicity.fit(once, labels), toxicity.fit(many, labels)
+    assert plain.bias == repeated.bias and (plain.weights == repeated.weights).all()
