@@ -39,8 +39,10 @@ CROWDED = 2000
 CROWDED_BATCH = 50
 #: Anchors of a bucket, segment bytes of a shard and windows of a range, about.
 BUCKET_ANCHORS = 700_000
-SHARD_BYTES = 4 << 20
-RANGE_WINDOWS = 500_000
+SHARD_BYTES = 2 << 20
+RANGE_WINDOWS = 150_000
+#: Windows of crowded anchors that are cut out at once.
+SLICE = 1 << 16
 #: A text longer than this is walked in overlapping parts.
 PART = 1 << 19
 #: Text that a task of a join reads, about.
@@ -302,7 +304,9 @@ def _segments(shards: int, ranges: int):
                 loud = np.flatnonzero(_among(key, wanted[1]))
                 if len(loud):
                     n = last[loud] - first[loud] + 1
-                    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[loud], n)
+                    every = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[loud], n)
+                for k in range(0, len(every) if len(loud) else 0, SLICE):
+                    at = every[k : k + SLICE]
                     places = np.zeros(len(at), dtype=_PLACE)
                     places["start"], places["row"] = joined.place(at), joined.text(at)
                     windows = np.zeros(len(at), dtype=_WINDOW)
