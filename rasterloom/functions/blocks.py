@@ -1,4 +1,4 @@
-"""Block transforms, lifting steps and layouts of the transform codecs as native columns."""
+"""Block transforms, lifting steps and layouts of the transform formats as native columns."""
 
 from __future__ import annotations
 

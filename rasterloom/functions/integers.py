@@ -1,4 +1,4 @@
-"""Integer helpers of the codecs as native columns; all arithmetic is on longs."""
+"""Integer helpers of the formats as native columns; all arithmetic is on longs."""
 
 from __future__ import annotations
 

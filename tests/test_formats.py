@@ -1,4 +1,4 @@
-"""Round trips and refusals of the codecs."""
+"""Round trips and refusals of the file formats."""
 
 import zlib
 
