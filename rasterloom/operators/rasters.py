@@ -46,10 +46,3 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     scaled = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000 + 0.5).cast("long"))
     return rows.select(F.col("vec_id").alias("y"), scaled.alias("samples"))
-
-
-def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The UTF-8 bytes of each document: ``doc_id, bytes``. Latin-1 maps a byte to one character and back."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    chars = F.split(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), "")
-    return rows.select("doc_id", F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c).cast("long")).alias("bytes"))

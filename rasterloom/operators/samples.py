@@ -1,4 +1,4 @@
-"""Operators on whole rows of samples held as arrays: resampling, byte transforms and runs."""
+"""Operators on whole rows of samples held as arrays: resampling and reduced blocks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.integers import let
 
 
 def doubled(samples: Column) -> Column:
@@ -40,28 +39,6 @@ def halved(samples: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int") - 1), tap)
 
 
-def split_delta(data: Column) -> Column:
-    """Even bytes, then odd bytes, each as the difference from the one before plus 128; the first stays."""
-    even = lambda d: F.filter(d, lambda _, i: i % 2 == 0)
-    odd = lambda d: F.filter(d, lambda _, i: i % 2 == 1)
-    step = lambda t: F.transform(t, lambda v, i: F.when(i == 0, v).otherwise(F.pmod(v - F.get(t, i - 1) + 128, F.lit(256))))
-    return let(data, lambda d: let(F.concat(even(d), odd(d)), step))
-
-
-def run_lengths(data: Column) -> Column:
-    """Lengths of the runs of equal values."""
-    starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    lengths = lambda t, s: F.transform(s, lambda a, i: F.coalesce(F.get(s, i + 1), F.size(t)) - a)
-    return let(data, lambda t: let(starts(t), lambda s: lengths(t, s)))
-
-
-def dense_codes(data: Column, values: int) -> Column:
-    """Each value's rank among the values in use, zero always among them. One table of all values makes it a look-up."""
-    used = lambda d: F.sort_array(F.array_union(F.array(F.lit(0).cast("long")), d))
-    table = lambda u: F.transform(F.sequence(F.lit(0), F.lit(values - 1)), lambda v: F.array_position(u, v.cast("long")) - 1)
-    return let(data, lambda d: let(let(used(d), table), lambda t: F.transform(d, lambda v: F.get(t, v.cast("int")))))
-
-
 def reduced_block(coefficients: Column, size: int) -> list[Column]:
     """``size`` by ``size`` samples of an 8 by 8 block from its lowest coefficients, level-shifted and clamped."""
     at = lambda u, v: F.get(coefficients, F.lit(8 * u + v)).cast("double")

@@ -172,8 +172,7 @@ def jpeg_magnitude_bits(spark, sf_dir):
     return px.select("y", "v", *longs(size=size, code=F.when(v >= 0, v).otherwise(v - 1 + F.pow(F.lit(2.0), size))))
 
 
-@query(f"""WITH {GRAD}, j AS (SELECT p.y, p.x, p.b AS v, u.b AS up, l.b AS lf, ul.b AS upl FROM px p LEFT JOIN px u ON u.y = p.y - 1 AND u.x = p.x LEFT JOIN px l ON l.y = p.y AND l.x = p.x - 1
-        LEFT JOIN px ul ON ul.y = p.y - 1 AND ul.x = p.x - 1),
+@query(f"""WITH {GRAD}, j AS (SELECT y, x, b AS v, lag(b, 128) OVER o AS up, CASE WHEN x > 0 THEN lag(b) OVER o END AS lf, CASE WHEN x > 0 THEN lag(b, 129) OVER o END AS upl FROM px WINDOW o AS (ORDER BY y, x)),
     n AS (SELECT y, x, v, coalesce(up, lf, 0) AS n, coalesce(lf, up, 0) AS w, coalesce(upl, up, lf, 0) AS nw FROM j), e AS (SELECT y, x, v - greatest(least(w, n), least(greatest(w, n), n + w - nw)) AS d FROM n)
     SELECT y, x, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS packed FROM e""")
 def jxl_sample_stream(spark, sf_dir):

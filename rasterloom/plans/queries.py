@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, integers, quantize
-from ..operators import neighbours, rasters, samples
+from ..operators import neighbours, rasters, samples, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,35 +298,26 @@ def png_unfilter_sub(spark, sf_dir):
     d AS (SELECT doc_id, j, CASE WHEN j = 0 THEN v ELSE (v - lag(v) OVER (PARTITION BY doc_id ORDER BY j) + 384) % 256 END AS d FROM t)
     SELECT doc_id, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, CAST(sum(d * (j % 1009)) AS BIGINT) AS placed FROM d GROUP BY doc_id""")
 def exr_byte_delta(spark, sf_dir):
-    t = rasters.text_bytes(spark, sf_dir).where(F.size("bytes") > 0).select("doc_id", samples.split_delta(F.col("bytes")).alias("d"))
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    placed = lambda d: F.aggregate(F.transform(d, lambda v, i: v * (i % 1009)), zero, add)
-    sums = integers.let(F.col("d"), lambda d: F.struct(*longs(n=F.size(d), total=F.aggregate(d, zero, add), placed=placed(d))))
-    return t.select("doc_id", sums.alias("s")).select("doc_id", "s.*")
+    return texts.per_text(spark, sf_dir, ["n", "total", "placed"], texts.delta_sums)
 
 
 @query(f"""WITH {BYTES}, s AS (SELECT doc_id, i, v, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM bytes),
     g AS (SELECT doc_id, v, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s), c AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY 1, 2)
     SELECT doc_id, count(*) AS runs, max(n) AS longest, count(*) FILTER (n >= 3) AS coded FROM c GROUP BY doc_id""")
 def exr_rle_runs(spark, sf_dir):
-    t = rasters.text_bytes(spark, sf_dir).where(F.size("bytes") > 0)
-    t = t.select("doc_id", samples.run_lengths(F.col("bytes")).alias("runs"))
-    return t.select("doc_id", *longs(runs=F.size("runs"), longest=F.array_max("runs"), coded=F.size(F.filter("runs", lambda x: x >= 3))))
+    return texts.per_text(spark, sf_dir, ["runs", "longest", "coded"], texts.run_counts)
 
 
 @query(f"""WITH {BYTES}, u AS (SELECT DISTINCT doc_id, v FROM bytes UNION SELECT DISTINCT doc_id, 0 FROM bytes), l AS (SELECT doc_id, v, dense_rank() OVER (PARTITION BY doc_id ORDER BY v) - 1 AS code FROM u)
     SELECT b.doc_id, CAST(max(code) AS BIGINT) AS top_code, CAST(sum(code) AS BIGINT) AS total FROM bytes b JOIN l ON b.doc_id = l.doc_id AND b.v = l.v GROUP BY b.doc_id""")
 def piz_lut(spark, sf_dir):
     """Codes of the byte values in use, zero always among them."""
-    t = rasters.text_bytes(spark, sf_dir).select("doc_id", samples.dense_codes(F.col("bytes"), 256).alias("c")).where(F.size("c") > 0)
-    return t.select("doc_id", *longs(top_code=F.array_max("c"), total=F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)))
+    return texts.per_text(spark, sf_dir, ["top_code", "total"], texts.code_sums)
 
 
-_PREDICT = f"""WITH {GRAD}, j AS (SELECT p.y, p.x, p.g AS v, u.g AS up, l.g AS lf, ul.g AS upl, ur.g AS upr, ur2.g AS upr2, uu.g AS up2, ll.g AS lf2 FROM px p
-    LEFT JOIN px u ON u.y = p.y - 1 AND u.x = p.x LEFT JOIN px l ON l.y = p.y AND l.x = p.x - 1 LEFT JOIN px ul ON ul.y = p.y - 1 AND ul.x = p.x - 1
-    LEFT JOIN px ur ON ur.y = p.y - 1 AND ur.x = p.x + 1 LEFT JOIN px ur2 ON ur2.y = p.y - 1 AND ur2.x = p.x + 2
-    LEFT JOIN px uu ON uu.y = p.y - 2 AND uu.x = p.x LEFT JOIN px ll ON ll.y = p.y AND ll.x = p.x - 2),
+_PREDICT = f"""WITH {GRAD}, j AS (SELECT y, x, g AS v, lag(g, 128) OVER o AS up, CASE WHEN x > 0 THEN lag(g) OVER o END AS lf, CASE WHEN x > 0 THEN lag(g, 129) OVER o END AS upl,
+    CASE WHEN x < 127 THEN lag(g, 127) OVER o END AS upr, CASE WHEN x < 126 THEN lag(g, 126) OVER o END AS upr2, lag(g, 256) OVER o AS up2, CASE WHEN x > 1 THEN lag(g, 2) OVER o END AS lf2
+    FROM px WINDOW o AS (ORDER BY y, x)),
   n AS (SELECT y, x, coalesce(up, lf, 0) AS n, coalesce(lf, up, 0) AS w, coalesce(upl, up, lf, 0) AS nw, coalesce(upr, up, lf, 0) AS ne, coalesce(up2, 0) AS nn,
     coalesce(lf2, lf, up, 0) AS ww, coalesce(upr2, upr, up, lf, 0) AS nee FROM j)
   SELECT y, x, 0 AS p0, w AS p1, n AS p2, (w + n) // 2 AS p3, CASE WHEN abs(n - nw) < abs(w - nw) THEN w ELSE n END AS p4, greatest(least(w, n), least(greatest(w, n), n + w - nw)) AS p5,
