@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..sources import exr, facade, jpeg, png, tiff
+from ..sources import exr, facade, jpeg, jxl_modular, parts, png, tiff
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,10 @@ def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             return jpeg.encode(bytes_of(v)[..., None], 95)
         if kind == "tiff":
             return tiff.write([v[..., None]], rows_per_strip=5)
+        if kind == "jxl":
+            return jxl_modular.write(np.repeat(bytes_of(v)[..., None], 3, axis=2))
+        if kind == "jxl_float":
+            return jxl_modular.write(v[..., None])
         return exr.write({"Y": v}, exr.ZIP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +84,44 @@ def exr_roundtrip(spark, sf_dir):
     return _sums(encoded(spark, sf_dir, "exr"))
 
 
+def jxl_roundtrip(spark, sf_dir):
+    """RGB with three equal channels, through the reversible colour transform."""
+    found = _sums(encoded(spark, sf_dir, "jxl"))
+    return found.withColumn("total", F.round(F.col("total") / 3, 3))
+
+
+def jxl_float_roundtrip(spark, sf_dir):
+    return _sums(encoded(spark, sf_dir, "jxl_float"))
+
+
 def jpeg_roundtrip(spark, sf_dir):
-    """Lossy, so there is no SQL; a test holds the samples against their sources."""
-    return _sums(encoded(spark, sf_dir, "jpeg"))
+    """Lossy: the size, and whether the mean sample is within one of the source's; a test holds the samples against their sources."""
+    lossy, exact = _sums(encoded(spark, sf_dir, "jpeg")), _sums(encoded(spark, sf_dir, "png"))
+    source = exact.select("image_id", F.col("total").alias("source"))
+    area = F.col("width") * F.col("height")
+    near = F.abs((F.col("total") - 255 * area) / 3 - F.col("source")) <= area  # opaque RGB of equal channels
+    return lossy.join(source, "image_id").select("image_id", "width", "height", near.alias("near"))
+
+
+EVERY = ("png", "jpeg", "tiff", "exr", "jxl", "jxl_float")
+
+
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encoded(spark, sf_dir, EVERY[0])
+    for kind in EVERY[1:]:
+        out = out.union(encoded(spark, sf_dir, kind))
+    return out
+
+
+def header_info(spark, sf_dir):
+    """Size, channels and samples of files of every format, from their headers alone."""
+    return parts.described(_every(spark, sf_dir), "image_id").where("error is null").drop("error")
+
+
+def file_parts(spark, sf_dir):
+    """Chunks, segments, directory entries, attributes, channels and streams: how many of each kind a file has."""
+    found = parts.listed(_every(spark, sf_dir), "image_id")
+    return found.groupBy("image_id", "format", "kind").agg(F.count_distinct("name").cast("long").alias("names"), F.min("name").alias("first"))
 
 
 def file_info(spark, sf_dir):
@@ -93,10 +132,17 @@ def file_info(spark, sf_dir):
     return rows
 
 
-QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, file_info)}
+QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_roundtrip, jxl_float_roundtrip, file_info, header_info, file_parts)}
+_PARTS = "('png', 'chunk', 3, 'IDAT'), ('jpeg', 'segment', 4, 'C0'), ('tiff', 'entry', 11, '256'), ('exr', 'attribute', 8, 'channels'), ('exr', 'channel', 1, 'Y'), ('jxl', 'codestream', 1, '')"
 ORACLES |= {
+    "file_parts": f"SELECT DISTINCT vec_id // 16 AS image_id, format, kind, CAST(names AS BIGINT) AS names, first FROM embeddings, (VALUES {_PARTS}) t(format, kind, names, first) WHERE len(embedding) = 64",
     "png_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "tiff_roundtrip": _FLOATS,
+    "jxl_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
+    "jxl_float_roundtrip": _FLOATS,
+    "jpeg_roundtrip": f"SELECT image_id, width, height, TRUE AS near FROM ({_FLOATS})",
+    "header_info": f"""SELECT image_id, format, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, channels, sample_format FROM ({_FLOATS}),
+(VALUES ('png', 1, 'UInt8'), ('jpeg', 4, 'UInt8'), ('tiff', 1, 'Float32'), ('exr', 1, 'Float32'), ('jxl', 3, 'UInt8'), ('jxl', 1, 'Float32')) t(format, channels, sample_format)""",
     "exr_roundtrip": _FLOATS,
     "file_info": """WITH i AS (SELECT vec_id // 16 AS image_id, count(*) AS height FROM embeddings WHERE len(embedding) = 64 GROUP BY 1)
 SELECT image_id, 'png' AS format, CAST(64 AS BIGINT) AS width, height, CAST(8 AS BIGINT) AS depth FROM i UNION ALL SELECT image_id, 'exr', NULL, NULL, NULL FROM i""",

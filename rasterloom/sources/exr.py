@@ -119,8 +119,19 @@ def _text(data: bytes, at: int) -> tuple[str, int]:
     return data[at:end].decode("latin-1"), end + 1
 
 
-def read(data: bytes) -> Exr:
-    """All channels, full size, by name."""
+@dataclass
+class Header:
+    width: int
+    height: int
+    top: int
+    compression: int
+    channels: list[tuple[str, np.dtype]]
+    attributes: dict[str, tuple[str, bytes]]
+    end: int
+
+
+def header(data: bytes) -> Header:
+    """The attributes, without any samples."""
     if not data.startswith(MAGIC):
         raise BadImage("no EXR magic number")
     (version,) = struct.unpack_from("<I", data, 4)
@@ -145,7 +156,14 @@ def read(data: bytes) -> Exr:
         listed.append((name, np.dtype(TYPES[struct.unpack_from("<i", body, i)[0]])))
         i += 16
     listed.sort()
-    out = Exr({n: np.zeros((h, w), t) for n, t in listed}, compression, attributes)
+    return Header(w, h, y0, compression, listed, attributes, at)
+
+
+def read(data: bytes) -> Exr:
+    """All channels, full size, by name."""
+    head = header(data)
+    w, h, y0, at, listed, compression = head.width, head.height, head.top, head.end, head.channels, head.compression
+    out = Exr({n: np.zeros((h, w), t) for n, t in listed}, compression, head.attributes)
     lines = LINES[compression]
     row_bytes = sum(w * t.itemsize for _, t in listed)
     shapes = [(w, t.itemsize // 2) for _, t in listed]
@@ -188,16 +206,19 @@ def write(channels: dict[str, np.ndarray], compression: int = ZIP) -> bytes:
     return head + offsets + b"".join(blocks)
 
 
+def shown(names: list[str]) -> list[str]:
+    """The channels that make the picture."""
+    if {"R", "G", "B"} <= set(names):
+        return ["R", "G", "B", "A"] if "A" in names else ["R", "G", "B"]
+    if len(names) == 1 or "Y" in names:
+        return names if len(names) == 1 else ["Y"]
+    raise BadImage("no channels to show")
+
+
 def raster(data: bytes) -> Raster:
     """R, G, B and A, else a single channel, else Y, in single precision and scene-linear light."""
-    img = read(data)
-    have = img.channels
-    if {"R", "G", "B"} <= have.keys():
-        names = ["R", "G", "B", "A"] if "A" in have else ["R", "G", "B"]
-    elif len(have) == 1 or "Y" in have:
-        names = [next(iter(have))] if len(have) == 1 else ["Y"]
-    else:
-        raise BadImage("no channels to show")
+    have = read(data).channels
+    names = shown(list(have))
     if any(have[n].dtype == np.uint32 for n in names):
         raise BadImage("integer channels are no light")
     samples = np.stack([have[n].astype(np.float32) for n in names], axis=2)

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
-from . import exr, gain_map, jpeg, png, tiff
+from . import exr, gain_map, jpeg, jxl, jxl_modular, png, tiff
 from .raster import SCHEMA, BadImage, Raster
 
 
@@ -45,6 +47,7 @@ REGISTRY: list[Decoder] = [
     Decoder("jpeg", (b"\xff\xd8\xff",), jpeg.raster),
     Decoder("tiff", (b"II*\0", b"MM\0*"), tiff.raster),
     Decoder("exr", (exr.MAGIC,), exr.raster),
+    Decoder("jxl", (jxl.CODESTREAM, jxl.CONTAINER), jxl_modular.raster),
 ]
 
 
@@ -72,6 +75,11 @@ def png_header(content: Column) -> Column:
     return F.when(is_png, fields)
 
 
+def kind_of(data: bytes | None) -> str | None:
+    """Name of the first registered format that matches."""
+    return next((d.name for d in REGISTRY if d.matches(data)), None) if data else None
+
+
 def decode(data: bytes | None) -> dict:
     """A row of ``SCHEMA``; errors are in it and never raised."""
     empty = dict.fromkeys(SCHEMA.names)
@@ -117,6 +125,72 @@ class RasterSource(DataSource):
         return RasterReader(self.options["path"], int(self.options.get("filesPerPartition", "16")))
 
 
+    def writer(self, schema, overwrite):
+        return RasterWriter(self.options["path"], self.options.get("format", "png"), schema, overwrite)
+
+
+#: What each format that can be written makes of samples.
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
+    "png": png.write,
+    "jpeg": lambda v: jpeg.encode(v, 95),
+    "tiff": lambda v: tiff.write([v]),
+    "exr": lambda v: exr.write(dict(zip("RGBA" if v.shape[2] > 2 else "Y", np.moveaxis(v.astype(np.float32), 2, 0), strict=False))),
+    "jxl": jxl_modular.write,
+}
+_SAMPLES = {"UInt8": "u1", "UInt16": "<u2", "Float32": "<f4"}
+
+
+class RasterWriter(DataSourceWriter):
+    """``df.write.format("raster").option("format", "png").save(folder)``: a file for each row.
+
+    Rows need ``name``, ``width``, ``height``, ``channels``, ``sample_format`` and
+    ``pixels``, as decoding gives them. A task writes drafts under names of its own; they get
+    their names only when the whole job commits, so repeated tasks leave one file each.
+    """
+
+    def __init__(self, path: str, kind: str, schema, overwrite: bool):
+        if kind not in ENCODERS:
+            raise ValueError(f"{kind} is not written; one of {sorted(ENCODERS)} is")
+        missing = {"name", "width", "height", "channels", "sample_format", "pixels"} - set(schema.names)
+        if missing:
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+        self.path, self.kind, self.overwrite = path, kind, overwrite
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+
+    def write(self, rows):
+        store, root = self._store()
+        store.create_dir(root, recursive=True)
+        draft, done = uuid.uuid4().hex, []
+        for row in rows:
+            v = np.frombuffer(row.pixels, _SAMPLES[row.sample_format]).reshape(row.height, row.width, row.channels)
+            to = f"{root}/{row.name}.{self.kind}"
+            with store.open_output_stream(f"{root}/.{draft}-{len(done)}") as f:
+                f.write(ENCODERS[self.kind](v))
+            done.append((f"{root}/.{draft}-{len(done)}", to))
+        return Written(done)
+
+    def commit(self, messages):
+        store, _ = self._store()
+        for m in messages:
+            for draft, to in m.files if m else ():
+                store.move(draft, to)
+
+    def abort(self, messages):
+        store, _ = self._store()
+        for m in messages:
+            for draft, _ in m.files if m else ():
+                store.delete_file(draft)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
 class RasterReader(DataSourceReader):
     def __init__(self, path: str, per_partition: int):
         self.path, self.per_partition = path, per_partition
@@ -130,7 +204,7 @@ class RasterReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = self._store()
-        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and not f.base_name.startswith("."))
         n = self.per_partition
         return [InputPartition(files[i : i + n]) for i in range(0, len(files), n)] or [InputPartition([])]
 

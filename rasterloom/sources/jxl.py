@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,13 +15,9 @@ CODESTREAM, CONTAINER = b"\xff\x0a", b"\0\0\0\x0cJXL \r\n\x87\n"
 RATIOS = {1: (1, 1), 2: (12, 10), 3: (4, 3), 4: (3, 2), 5: (16, 9), 6: (5, 4), 7: (2, 1)}
 
 
-def codestream(data: bytes) -> bytes:
-    """The codestream itself or the parts of it in a container, in the order of the file."""
-    if data.startswith(CODESTREAM):
-        return data
-    if not data.startswith(CONTAINER):
-        raise BadImage("no JPEG XL signature")
-    at, out = 0, b""
+def boxes(data: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """Type, place and body of each box of a container; a box without a size runs to the end."""
+    at = 0
     while at + 8 <= len(data):
         size, kind, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
         if size == 1:
@@ -28,12 +25,17 @@ def codestream(data: bytes) -> bytes:
                 break
             size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
         end = at + size if size and at < at + size <= len(data) else len(data)
-        body = data[at + head : end]
-        if kind == b"jxlc":
-            out += body
-        elif kind == b"jxlp" and len(body) >= 4:
-            out += body[4:]
+        yield kind.decode("latin-1"), at, data[at + head : end]
         at = end
+
+
+def codestream(data: bytes) -> bytes:
+    """The codestream itself or the parts of it in a container, in the order of the file."""
+    if data.startswith(CODESTREAM):
+        return data
+    if not data.startswith(CONTAINER):
+        raise BadImage("no JPEG XL signature")
+    out = b"".join(body if kind == "jxlc" else body[4:] for kind, _, body in boxes(data) if kind in ("jxlc", "jxlp"))
     if not out:
         raise BadImage("no codestream in the container")
     return out
@@ -43,12 +45,12 @@ class LowBits:
     """Bit fields, lowest bit first; zeros follow the end."""
 
     def __init__(self, data: bytes):
-        self.value, self.at = int.from_bytes(data, "little"), 0
+        self.data, self.at = data, 0
 
     def take(self, n: int) -> int:
-        out = self.value >> self.at & (1 << n) - 1
-        self.at += n
-        return out
+        at = self.at
+        self.at = end = at + n
+        return int.from_bytes(self.data[at >> 3 : end + 7 >> 3], "little") >> (at & 7) & (1 << n) - 1
 
     def choice(self, *options: tuple[int, int]) -> int:
         """One of four ``(offset, bits)`` by two bits."""
@@ -77,15 +79,33 @@ class LowBits:
 
 @dataclass
 class LowBitsWriter:
+    done: bytearray = field(default_factory=bytearray)
     value: int = 0
     n: int = 0
 
     def put(self, value: int, bits: int) -> None:
         self.value |= (value & (1 << bits) - 1) << self.n
         self.n += bits
+        if self.n >= 512:
+            whole = self.n // 8
+            self.done += (self.value & (1 << 8 * whole) - 1).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.n -= 8 * whole
+
+    def choose(self, value: int, *options: tuple[int, int]) -> None:
+        """``value`` by the first of four ``(offset, bits)`` that holds it."""
+        for k, (offset, bits) in enumerate(options):
+            if offset <= value < offset + (1 << bits):
+                self.put(k, 2)
+                self.put(value - offset, bits)
+                return
+        raise BadImage("no option holds this value")
+
+    def align(self) -> None:
+        self.n += -self.n % 8
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes(-(-self.n // 8), "little")
+        return bytes(self.done) + self.value.to_bytes(-(-self.n // 8), "little")
 
 
 def size(data: bytes) -> tuple[int, int]:
