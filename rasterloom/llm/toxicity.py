@@ -30,6 +30,8 @@ BEGINNINGS = (4, 5, 6)
 STEPS = 200
 RATE = 0.3
 DECAY = 1e-6
+#: Entries of the training matrix that a product takes at once.
+BLOCK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,24 +83,23 @@ def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
         if is_positive:
             frequent[np.frombuffer(f, dtype="<i4")[::2]] += 1
     common = frequent >= max(3, positive.sum() // 200)
-    held, totals = [], np.ones(len(rows))
-    for i, (_, f) in enumerate(rows):
+    # Every common feature is in some row, so its place among them is its column.
+    names = np.flatnonzero(common)
+    place = (np.cumsum(common) - 1).astype(np.int32)
+    held, values = [], []
+    for _, f in rows:
         name, count = np.frombuffer(f, dtype="<i4").reshape(-1, 2).T
-        totals[i] = max(1, int(count.sum()))
         keep = common[name]
-        held.append((name[keep], count[keep].astype(np.float32)))
-    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in held])
-    columns = np.concatenate([f for f, _ in held])
-    counts = np.concatenate([c for _, c in held])
+        held.append(place[name[keep]])
+        values.append(count[keep].astype(np.float32) / np.float32(np.sqrt(max(1, int(count.sum())))))
+    matrix = Ragged(np.concatenate(held), np.concatenate(values), np.cumsum([0, *map(len, held)]))
     held.clear()
-    names, columns = np.unique(columns, return_inverse=True)
-    by_row = Ragged(row_of, columns.astype(np.int32), counts / np.sqrt(totals, dtype=np.float32)[row_of], len(rows))
-    by_name = by_row.transposed(len(names))
+    values.clear()
     n_p, n_u = positive.sum(), (~positive).sum()
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):
-        p = sigmoid(b + by_row.times(w))
+        p = sigmoid(b + matrix.times(w))
         # Logistic loss: the gradient of -log p is p - 1, that of -log(1 - p) is p.
         loss_minus = -np.log(np.maximum(1 - p, 1e-12))
         bracket = loss_minus[~positive].mean() - prior * loss_minus[positive].mean()
@@ -106,7 +107,7 @@ def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
             g = np.where(positive, prior * (p - 1) / n_p - prior * p / n_p, p / n_u)
         else:
             g = np.where(positive, prior * p / n_p, -p / n_u)
-        grad = np.append(by_name.times(g) + DECAY * w, g.sum())
+        grad = np.append(matrix.back(g, len(names)) + DECAY * w, g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         rate = RATE * min(1.0, 2 * (STEPS + 1 - step) / STEPS)
@@ -118,21 +119,32 @@ def train(rows: list[tuple[bool, bytes]], prior: float) -> Model:
 
 
 class Ragged:
-    """A sparse matrix by rows; ``row_of`` ascends."""
+    """A sparse matrix by rows; products go over some million entries at once, so nothing as large as the matrix is made."""
 
-    def __init__(self, row_of: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int):
-        self.row_of, self.columns, self.values, self.n_rows = row_of, columns, values, n_rows
-        self.rows, self.starts = np.unique(row_of, return_index=True)
+    def __init__(self, columns: np.ndarray, values: np.ndarray, bounds: np.ndarray):
+        self.columns, self.values, self.bounds = columns, values, bounds
+        n = len(bounds) - 1
+        cuts = sorted({0, n, *(min(int(k), n) for k in np.searchsorted(bounds, np.arange(BLOCK, int(bounds[-1]), BLOCK)))})
+        self.blocks = list(zip(cuts, cuts[1:], strict=False))
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n_rows)
-        if len(self.starts):
-            out[self.rows] = np.add.reduceat(self.values * x.astype(np.float32)[self.columns], self.starts)
+        """The product with a value for each column."""
+        out, x = np.zeros(len(self.bounds) - 1), x.astype(np.float32)
+        for a, z in self.blocks:
+            first, last = self.bounds[a], self.bounds[z]
+            if first < last:
+                rows = a + np.flatnonzero(self.bounds[a + 1 : z + 1] > self.bounds[a:z])
+                out[rows] = np.add.reduceat(self.values[first:last] * x[self.columns[first:last]], self.bounds[rows] - first)
         return out
 
-    def transposed(self, n_rows: int) -> Ragged:
-        order = np.argsort(self.columns, kind="stable")
-        return Ragged(self.columns[order], self.row_of[order], self.values[order], n_rows)
+    def back(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The product of the turned matrix of ``n`` rows with a value for each of this one's rows."""
+        out, x = np.zeros(n), x.astype(np.float32)
+        for a, z in self.blocks:
+            first, last = self.bounds[a], self.bounds[z]
+            each = np.repeat(x[a:z], np.diff(self.bounds[a : z + 1]))
+            out += np.bincount(self.columns[first:last], self.values[first:last] * each, minlength=n)
+        return out
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -159,9 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.select("doc_id", "text").join(F.broadcast(p.union(u).distinct()), "doc_id")
     # One row for each id and side, so repeated rows don't multiply; a row has each feature once.
     held = sample.mapInArrow(run, "doc_id long, positive boolean, features binary").groupBy("doc_id", "positive").agg(F.min("features").alias("features"))
-    rows = held.collect()
-    rows.sort(key=lambda r: (r.positive, r.doc_id))
-    return train([(r.positive, bytes(r.features)) for r in rows], float(prior))
+    table = held.toArrow()
+    order = np.lexsort((table.column("doc_id").to_numpy(), table.column("positive").to_numpy()))
+    positive, packed = table.column("positive").to_pylist(), table.column("features")
+    # The features stay in the columns that came; nothing is copied.
+    model = train([(positive[i], packed[int(i)].as_buffer()) for i in order], float(prior))
+    del table, packed
+    trim()
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
