@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, documents, mix64, n_parts, staged, tasks_for, text_bytes, trim
+from .common import digest_of, discard, documents, mix64, n_parts, staged, tasks_for, text_bytes, trim
 from .suffix_array import window_order
 from .winnow import unused_name
 from .words import sliding_min
@@ -494,7 +494,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         spans = spans.union(places.join(answers, "batch").select("places", "names", "answers").mapInArrow(_crowded_spans, "doc long, tag long, start long, end long"))
     by_doc = spans.groupBy("doc", F.col("tag").alias("h1")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     named = known.join(firsts, ["h1", "digest", "n"]).select("doc", "h1", "digest", (F.col("doc") > F.col("first")).alias("copy")).distinct()
-    return staged(named.join(by_doc, ["doc", "h1"], "left").select("doc", "digest", "copy", "spans"), "spans")
+    out = staged(named.join(by_doc, ["doc", "h1"], "left").select("doc", "digest", "copy", "spans"), "spans")
+    discard(known, firsts, wanted, cut)
+    return out
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -89,3 +89,14 @@ def test_representatives_keep_different_texts_of_one_doc_id(spark):
     rows = [(1, one), (1, two), (1, one), (2, two), (3, None), (4, " \n"), (5, "word"), (None, one)]
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, one), (1, two), (3, ""), (5, "word"), (0, one)])
+
+
+def test_sketches_rule_out_nothing_similar():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 90, 3000, 20_000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, max(1, n // 10)).astype(np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            bits = [np.frombuffer(jaccard.sketch(x), dtype=np.uint64) for x in (a, b)]
+            assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= apart
