@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import macroblocks
 from ..session import ship_package
 from ..sources import exr, facade, jpeg, jxl_modular, parts, png, tiff
 
@@ -132,9 +133,29 @@ def file_info(spark, sf_dir):
     return rows
 
 
+def jxr_core_transform(spark, sf_dir):
+    """Macroblocks of each stored image through both stages of the core transform and back: how many, and whether all bits return."""
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, kept = [], []
+            for rows in b.column(1).to_pylist():
+                v = bytes_of(np.array(rows, dtype=np.float32))
+                p = macroblocks.macroblocks(v)
+                back = macroblocks.plane(macroblocks.inverse(macroblocks.forward(p)), *v.shape)
+                n.append(p.shape[0] * p.shape[1])
+                kept.append(bool((back == v).all()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(kept)], ["image_id", "macroblocks", "restored"])
+
+    return images(spark, sf_dir).mapInArrow(run, "image_id long, macroblocks long, restored boolean")
+
+
+QUERIES["jxr_core_transform"] = jxr_core_transform
 QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_roundtrip, jxl_float_roundtrip, file_info, header_info, file_parts)}
 _PARTS = "('png', 'chunk', 3, 'IDAT'), ('jpeg', 'segment', 4, 'C0'), ('tiff', 'entry', 11, '256'), ('exr', 'attribute', 8, 'channels'), ('exr', 'channel', 1, 'Y'), ('jxl', 'codestream', 1, '')"
 ORACLES |= {
+    "jxr_core_transform": "SELECT vec_id // 16 AS image_id, CAST(4 * ceil(count(*) / 16) AS BIGINT) AS macroblocks, TRUE AS restored FROM embeddings WHERE len(embedding) = 64 GROUP BY 1",
     "file_parts": f"SELECT DISTINCT vec_id // 16 AS image_id, format, kind, CAST(names AS BIGINT) AS names, first FROM embeddings, (VALUES {_PARTS}) t(format, kind, names, first) WHERE len(embedding) = 64",
     "png_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "tiff_roundtrip": _FLOATS,

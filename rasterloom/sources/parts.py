@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
-from . import exif, exr, facade, jpeg, jxl, jxl_modular, png, tiff
+from . import exif, exr, facade, jpeg, jxl, jxl_modular, jxr, png, tiff
 from .raster import BadImage
 
 ERRORS = (BadImage, KeyError, ValueError, IndexError, struct.error)
@@ -73,7 +73,12 @@ def _jxl(data: bytes) -> Header:
     return Header(about.width, about.height, about.channels, "Float32" if about.exponent else "UInt8" if about.bits <= 8 else "UInt16")
 
 
-HEADERS: dict[str, Callable[[bytes], Header]] = {"png": _png, "jpeg": _jpeg, "gain_map_jpeg": _jpeg, "tiff": _tiff, "exr": _exr, "jxl": _jxl}
+def _jxr(data: bytes) -> Header:
+    f = jxr.read(data)
+    return Header(f.width, f.height, *f.layout)
+
+
+HEADERS: dict[str, Callable[[bytes], Header]] = {"png": _png, "jpeg": _jpeg, "gain_map_jpeg": _jpeg, "tiff": _tiff, "exr": _exr, "jxr": _jxr, "jxl": _jxl}
 
 
 def info(data: bytes | None) -> tuple:
@@ -127,7 +132,12 @@ def _jxl_parts(data: bytes) -> Iterator[tuple]:
         yield 0, "codestream", "", 0, len(data), ""
 
 
-PARTS: dict[str, Callable[[bytes], Iterator[tuple]]] = {"png": _png_parts, "jpeg": _jpeg_parts, "gain_map_jpeg": _jpeg_parts, "tiff": _tiff_parts, "exr": _exr_parts, "jxl": _jxl_parts}
+def _jxr_parts(data: bytes) -> Iterator[tuple]:
+    for tag, kind, count, _ in jxr.directory(data):
+        yield 0, "entry", f"{tag:04X}", None, count * {3: 2, 4: 4, 11: 4}.get(kind, 1), ""
+
+
+PARTS: dict[str, Callable[[bytes], Iterator[tuple]]] = {"png": _png_parts, "jpeg": _jpeg_parts, "gain_map_jpeg": _jpeg_parts, "tiff": _tiff_parts, "exr": _exr_parts, "jxr": _jxr_parts, "jxl": _jxl_parts}
 
 
 def parts(data: bytes | None) -> Iterator[tuple]:
