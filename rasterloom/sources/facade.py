@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
-from . import exr, gain_map, jpeg, jxl, jxl_modular, jxr, png, tiff
+from . import exr, gain_map, jpeg, jxl, jxl_modular, jxr, jxr_image, png, tiff
 from .raster import SCHEMA, BadImage, Raster
 
 
@@ -47,7 +47,7 @@ REGISTRY: list[Decoder] = [
     Decoder("jpeg", (b"\xff\xd8\xff",), jpeg.raster),
     Decoder("tiff", (b"II*\0", b"MM\0*"), tiff.raster),
     Decoder("exr", (exr.MAGIC,), exr.raster),
-    Decoder("jxr", (jxr.SIGNATURE,), jxr.raster),
+    Decoder("jxr", (jxr.SIGNATURE,), jxr_image.raster),
     Decoder("jxl", (jxl.CODESTREAM, jxl.CONTAINER), jxl_modular.raster),
 ]
 
@@ -137,6 +137,7 @@ ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
     "tiff": lambda v: tiff.write([v]),
     "exr": lambda v: exr.write(dict(zip("RGBA" if v.shape[2] > 2 else "Y", np.moveaxis(v.astype(np.float32), 2, 0), strict=False))),
     "jxl": jxl_modular.write,
+    "jxr": jxr_image.write,
 }
 _SAMPLES = {"UInt8": "u1", "UInt16": "<u2", "Float32": "<f4"}
 

@@ -1,11 +1,11 @@
-"""JPEG XR: the container, the headers of images and planes, quantiser rows and index tables. Coefficients are not decoded yet."""
+"""JPEG XR: the container, the headers of images and planes, quantiser rows and index tables."""
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
 
-from .raster import BadImage, Raster
+from .raster import BadImage
 
 SIGNATURE = b"II\xbc\x01"
 IMAGE = b"WMPHOTO\0"
@@ -29,7 +29,12 @@ class HighBits:
     """Bit fields, highest bit first; zeros follow the end."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at = data + bytes(16), 0
+
+    def peek8(self) -> int:
+        """The next eight bits, which stay."""
+        i = self.at >> 3
+        return (self.data[i] << 8 | self.data[i + 1]) >> 8 - (self.at & 7) & 0xFF
 
     def take(self, n: int) -> int:
         first, end = self.at >> 3, self.at + n + 7 >> 3
@@ -384,9 +389,3 @@ def write_profiles(out: HighBitsWriter, profiles: list[tuple[int, int]]) -> None
         out.put(profile, 8)
         out.put(level, 8)
         out.put(k == len(profiles) - 1, 16)
-
-
-def raster(data: bytes) -> Raster:
-    f = read(data)
-    f.layout  # a format that is not shown is told first
-    raise BadImage("JPEG XR coefficients are not decoded")
