@@ -133,6 +133,37 @@ def square(w: np.ndarray, back: bool = False) -> np.ndarray:
     return out
 
 
+def _pair(a, b, back: bool):
+    if back:
+        b = b + (a + 2 >> 2)
+        for up, n in ((1, 1), (0, 5), (0, 9), (0, 13)):
+            a = a + (b + up >> n)
+        return a, b + (a + 2 >> 2)
+    b = b - (a + 2 >> 2)
+    for up, n in ((1, 1), (0, 5), (0, 9), (0, 13)):
+        a = a - (b + up >> n)
+    return a, b - (a + 2 >> 2)
+
+
+def pairs_filtered(plane: np.ndarray, back: bool = False) -> np.ndarray:
+    """The second level of halved chroma: squares of two by two, pairs along the edges, corners that follow their neighbour in the row."""
+    out = plane.copy()
+    a, b, c, d = (plane[r::2, k::2][: plane.shape[0] // 2 - 1, : plane.shape[1] // 2 - 1] for r in (1, 2) for k in (1, 2))
+    a, b = a + d, b + c
+    d, c = d - (a + 1 >> 1), c - (b + 1 >> 1)
+    a, b = _pair(a, b, back)
+    d, c = d + (a + 1 >> 1), c + (b + 1 >> 1)
+    for (r, k), v in zip(((1, 1), (1, 2), (2, 1), (2, 2)), (a - d, b - c, c, d), strict=True):
+        out[r:-1:2, k:-1:2][: v.shape[0], : v.shape[1]] = v
+    for edge in (0, -1):
+        for line_in, line_out in ((plane[edge], out[edge]), (plane[:, edge], out[:, edge])):
+            line_out[1:-1:2], line_out[2:-1:2] = _pair(line_in[1:-1:2], line_in[2:-1:2], back)
+    for r in (0, -1):
+        for k, beside in ((0, 1), (-1, -2)):
+            out[r, k] += out[r, beside] - plane[r, beside] if plane.shape[1] > 2 else 0
+    return out
+
+
 def filtered(plane: np.ndarray, back: bool = False) -> np.ndarray:
     """A plane of whole blocks before the transform, or after its inverse."""
     h, w = plane.shape

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import macroblocks
 from ..session import ship_package
-from ..sources import exr, facade, jpeg, jxl_modular, jxr_image, parts, png, tiff
+from ..sources import exr, facade, jpeg, jxl_modular, jxr, jxr_image, parts, png, tiff
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,8 @@ def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             return jxl_modular.write(np.repeat(bytes_of(v)[..., None], 3, axis=2))
         if kind == "jxr":
             return jxr_image.write(np.repeat(bytes_of(v)[..., None], 3, axis=2), jxr_image.Options(overlap=1, by_frequency=True))
+        if kind == "jxr_420":
+            return jxr_image.write(np.repeat(bytes_of(v)[..., None], 3, axis=2), jxr_image.Options(overlap=2, color=jxr.YUV420))
         if kind == "jxr_half":
             return jxr_image.write(np.floor(v[..., None] * 512).astype(np.float16), jxr_image.Options(overlap=2, tile_widths=[1, 2]))
         if kind == "jxl_float":
@@ -101,6 +103,12 @@ def jxr_roundtrip(spark, sf_dir):
     return found.withColumn("total", F.round(F.col("total") / 3, 3))
 
 
+def jxr_420_roundtrip(spark, sf_dir):
+    """RGB with three equal channels, chroma halved both ways: nothing is lost, as there is none."""
+    found = _sums(encoded(spark, sf_dir, "jxr_420"))
+    return found.withColumn("total", F.round(F.col("total") / 3, 3))
+
+
 def jxr_half_roundtrip(spark, sf_dir):
     """Grey half floats (512ths, rounded down) in three tiles with two levels of overlap."""
     return _sums(encoded(spark, sf_dir, "jxr_half"))
@@ -167,7 +175,7 @@ def jxr_core_transform(spark, sf_dir):
 
 
 QUERIES["jxr_core_transform"] = jxr_core_transform
-QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_roundtrip, jxl_float_roundtrip, jxr_roundtrip, jxr_half_roundtrip, file_info, header_info, file_parts)}
+QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_roundtrip, jxl_float_roundtrip, jxr_roundtrip, jxr_420_roundtrip, jxr_half_roundtrip, file_info, header_info, file_parts)}
 _PARTS = "('png', 'chunk', 3, 'IDAT'), ('jpeg', 'segment', 4, 'C0'), ('tiff', 'entry', 11, '256'), ('exr', 'attribute', 8, 'channels'), ('exr', 'channel', 1, 'Y'), ('jxl', 'codestream', 1, ''), ('jxr', 'entry', 9, 'BC01')"
 ORACLES |= {
     "jxr_core_transform": "SELECT vec_id // 16 AS image_id, CAST(4 * ceil(count(*) / 16) AS BIGINT) AS macroblocks, TRUE AS restored FROM embeddings WHERE len(embedding) = 64 GROUP BY 1",
@@ -177,6 +185,7 @@ ORACLES |= {
     "jxl_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "jxl_float_roundtrip": _FLOATS,
     "jxr_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
+    "jxr_420_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "jxr_half_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "floor(CAST(unnest(embedding) AS DOUBLE) * 512) AS v"),
     "jpeg_roundtrip": f"SELECT image_id, width, height, TRUE AS near FROM ({_FLOATS})",
     "header_info": f"""SELECT image_id, format, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, channels, sample_format FROM ({_FLOATS}),

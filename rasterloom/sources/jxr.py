@@ -292,12 +292,10 @@ class PlaneHeader:
     @staticmethod
     def read(bits: HighBits, depth: int) -> PlaneHeader:
         h = PlaneHeader(bits.take(3), bool(bits.take(1)), bits.take(4))
-        if h.color in (YUV420, YUV422):
-            raise BadImage("subsampled chroma")
         h.planes = PLANES.get(h.color, 0)
         if not h.planes or h.bands > DC_ONLY:
             raise BadImage("a colour format or bands that are reserved")
-        if h.color == YUV444:
+        if h.color in (YUV420, YUV422, YUV444):
             bits.take(8)
         elif h.color == COMPONENTS:
             h.planes = 1 + bits.take(4)
@@ -309,18 +307,17 @@ class PlaneHeader:
         elif depth == FLOAT_DEPTH:
             h.mantissa, h.bias = bits.take(8), (bits.take(8) + 128) % 256 - 128
         for band in range(_band_count(h.bands)):
-            if band:
-                bits.take(1)
-            h.steps.append(read_steps(bits, h.planes) if bits.take(1) else None)
+            if band and bits.take(1):
+                h.steps.append(h.steps[-1])  # those of the band below
+            else:
+                h.steps.append(read_steps(bits, h.planes) if bits.take(1) else None)
         bits.align()
         return h
 
     def write(self, out: HighBitsWriter, depth: int) -> None:
-        if self.color in (YUV420, YUV422):
-            raise BadImage("subsampled chroma")
         for value, n in ((self.color, 3), (self.scaled, 1), (self.bands, 4)):
             out.put(int(value), n)
-        if self.color == YUV444:
+        if self.color in (YUV420, YUV422, YUV444):
             out.put(0, 8)
         elif self.color == COMPONENTS:
             out.put(self.planes - 1, 4)

@@ -54,12 +54,17 @@ DOWN_SCAN = [0, 4, 8, 5, 1, 12, 9, 6, 2, 13, 3, 15, 7, 10, 14, 11]
 # The blocks of a macroblock in the stream's order (two by two, then two by two of these), by their place in columns.
 BLOCKS = [0, 4, 1, 5, 8, 12, 9, 13, 2, 6, 3, 7, 10, 14, 11, 15]
 # The block that each block's bit is predicted from; the first comes from a neighbour's.
-PARENTS = {1: 0, 4: 1, 5: 4, 2: 0, 3: 1, 6: 4, 7: 5, 8: 2, 9: 3, 12: 6, 13: 7, 10: 8, 11: 9, 14: 12, 15: 13}
+PARENTS = {16: {1: 0, 4: 1, 5: 4, 2: 0, 3: 1, 6: 4, 7: 5, 8: 2, 9: 3, 12: 6, 13: 7, 10: 8, 11: 9, 14: 12, 15: 13}, 4: {1: 0, 2: 0, 3: 1}, 8: {1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: 4, 7: 5}}
+# For planes of so many blocks, which bits of the neighbours to the left and above foretell the first one.
+NEIGHBOURS = {16: (5, 10), 4: (1, 2), 8: (1, 6)}
+# Bits of a plane of eight blocks in each quarter; places of halved chroma's lowest coefficients in the stream, and the place that their joint block starts from.
+QUARTERS = [(0, 2), (1, 3), (4, 6), (5, 7)]
+CHROMA_ORDER, CHROMA_START = {4: [1, 2, 3], 8: [4, 1, 2, 3, 5, 6, 7]}, {4: 10, 8: 2}
 # Patterns of four with one, two and three bits, in the order of their words; and the groups of a luma nibble.
 ONE, TWO, THREE = [1, 2, 4, 8], [3, 5, 6, 9, 10, 12], [14, 13, 11, 7]
 NIBBLES = [[0], [1, 2, 4, 8], [3, 12], [5, 6, 9, 10], [7, 11, 13, 14], [15]]
 # Weights of the counts that move the number of plain bits: luma, then chroma of three whole planes; the highpass one in sixteenths.
-LUMA_COUNT, CHROMA_COUNT, COUNT_GOAL = [240, 12, 1], [120, 6, 8], 70
+LUMA_COUNT, CHROMA_COUNT, COUNT_GOAL = [240, 12, 1], {16: [120, 6, 8], 4: [120, 37, 2], 8: [120, 18, 1]}, 70
 FIRST_BITS = [8, 4, 0]
 
 
@@ -79,7 +84,7 @@ PICK = [None, None, Prefix(["1", "0"]), Prefix(["1", "01", "00"]), Prefix(["1",
 OF_FOUR, OF_TWO = Prefix(["00", "01", "10", "11"]), Prefix(["0", "1"])
 OF_PAIRS = Prefix(["00", "01", "100", "101", "110", "111"])
 LAST_PLACE = Prefix(["0", "110", "10", "111"])
-LOW_PATTERNS = Prefix(["0", "100", "1010", "1011", "1100", "1101", "1110", "1111"])
+LOW_PATTERNS = {3: Prefix(["0", "100", "1010", "1011", "1100", "1101", "1110", "1111"]), 2: Prefix(["0", "10", "110", "111"])}
 
 
 class Reader:
@@ -191,12 +196,12 @@ class Scan:
 class PlainBits:
     """How many low bits of luma and chroma go uncoded."""
 
-    def __init__(self, band: int, planes: int):
-        self.band, self.planes = band, planes
+    def __init__(self, band: int, planes: int, chroma: int):
+        self.band, self.planes, self.chroma = band, planes, chroma
         self.bits, self.state = [FIRST_BITS[band]] * 2, [0, 0]
 
     def count(self, luma: int, chroma: int) -> None:
-        counts = [luma * LUMA_COUNT[self.band], chroma * CHROMA_COUNT[self.band] >> (4 if self.band == 2 else 0)]
+        counts = [luma * LUMA_COUNT[self.band], chroma * CHROMA_COUNT[self.chroma][self.band] >> (4 if self.band == 2 and self.chroma == 16 else 0)]
         for j in range(min(2, self.planes)):
             away = counts[j] - COUNT_GOAL >> 2
             if away <= -8:
@@ -224,10 +229,10 @@ class Blocks:
         for code in (*self.first, *self.next[0], *self.next[1], *self.level):
             code.settle()
 
-    def code(self, port, chroma: bool, pairs: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
+    def code(self, port, chroma: bool, pairs: list[tuple[int, int]] | None, place: int = 1) -> list[tuple[int, int]]:
         """The pairs of a block with at least one; ``pairs`` are null when reading."""
         out: list[tuple[int, int]] = []
-        place, follow, adjacent, steady = 1, 1, 0, 0
+        follow, adjacent, steady = 1, 0, 0
         while follow or not out:
             k = len(out)
             run, value = pairs[k] if pairs else (0, 0)
@@ -302,24 +307,24 @@ class Patterns:
     def __init__(self):
         self.set, self.unset, self.state = [-4, -4], [4, 4], [0, 0]
 
-    def count(self, kind: int, pattern: int) -> None:
-        n = pattern.bit_count()
+    def count(self, kind: int, pattern: int, blocks: int = 16) -> None:
+        n = pattern.bit_count() * 16 // blocks
         keep = lambda v: max(-16, min(15, v))
         self.set[kind], self.unset[kind] = keep(self.set[kind] + n - 3), keep(self.unset[kind] + 13 - n)
         rare, full = self.set[kind] < 0, self.unset[kind] < 0
         self.state[kind] = (1 if self.set[kind] < self.unset[kind] else 2) if rare else 2 if full else 0
 
-    def differences(self, kind: int, pattern: int, seed: int) -> int:
+    def differences(self, kind: int, pattern: int, seed: int, blocks: int = 16) -> int:
         if self.state[kind]:
-            return pattern if self.state[kind] == 1 else pattern ^ 0xFFFF
+            return pattern if self.state[kind] == 1 else pattern ^ (1 << blocks) - 1
         bit = lambda j: pattern >> j & 1
-        return bit(0) ^ seed | sum((bit(j) ^ bit(p)) << j for j, p in PARENTS.items())
+        return bit(0) ^ seed | sum((bit(j) ^ bit(p)) << j for j, p in PARENTS[blocks].items())
 
-    def pattern(self, kind: int, sent: int, seed: int) -> int:
+    def pattern(self, kind: int, sent: int, seed: int, blocks: int = 16) -> int:
         if self.state[kind]:
-            return sent if self.state[kind] == 1 else sent ^ 0xFFFF
+            return sent if self.state[kind] == 1 else sent ^ (1 << blocks) - 1
         out = sent & 1 ^ seed
-        for j, p in PARENTS.items():
+        for j, p in PARENTS[blocks].items():
             out |= (sent >> j & 1 ^ out >> p & 1) << j
         return out
 
@@ -335,14 +340,15 @@ def four(port, count: int, pattern: int) -> int:
 class Macroblocks:
     """All that adapts over a tile, and the three bands of its macroblocks."""
 
-    def __init__(self, planes: int, flexible: bool = True, dropped: int = 0):
-        self.planes, self.flexible, self.dropped = planes, flexible, dropped
+    def __init__(self, planes: int, flexible: bool = True, dropped: int = 0, chroma: int = 16):
+        self.planes, self.flexible, self.dropped, self.chroma = planes, flexible, dropped, chroma
+        self.blocks = [16] + [chroma] * (planes - 1)
         self.dc_kind, self.dc_level = Adaptive(8), [Adaptive(7), Adaptive(7)]
         self.low, self.high = Blocks(), Blocks()
         self.superblocks, self.nibbles, self.chroma_blocks = Adaptive(5), Adaptive(9 if planes == 3 else 5), Adaptive(4)
         across = [STREAM_ORDER[k] for k in LOW_SCAN]
         self.low_scan, self.scans = Scan(LOW_SCAN), [Scan(across), Scan([STREAM_ORDER[k] for k in DOWN_SCAN])]
-        self.dc_bits, self.low_bits, self.high_bits = (PlainBits(b, planes) for b in range(3))
+        self.dc_bits, self.low_bits, self.high_bits = (PlainBits(b, planes, chroma) for b in range(3))
         self.full, self.none = 1, 1
         self.patterns = Patterns()
 
@@ -366,20 +372,12 @@ class Macroblocks:
         """The other fifteen of the lowest coefficients of each block, by plane; the first place is unused."""
         if forget:
             self.low_scan.forget()
-        bits = [self.low_bits.bits[c > 0] for c in range(self.planes)]
-        pairs = [self.low_scan.pairs(v, n) for v, n in zip(given, bits, strict=True)] if given else None
-        which = sum(bool(p) << c for c, p in enumerate(pairs)) if given else 0
-        if self.planes == 3:
-            if self.none <= 0 or self.full < 0:
-                turn = self.full < self.none
-                which = port.word(LOW_PATTERNS, 7 - which if turn else which)
-                which = 7 - which if turn else which
-            else:
-                which = port.field(3, which)
-            self.full = max(-8, min(7, self.full + 1 - 4 * (which == 7)))
-            self.none = max(-8, min(7, self.none + 1 - 4 * (which == 0)))
-        else:
-            which = port.field(1, which)
+        joint = self.chroma < 16
+        bits = [self.low_bits.bits[c > 0] for c in range(1 if joint else self.planes)]
+        pairs = [self.low_scan.pairs(v, n) for v, n in zip(given, bits, strict=False)] if given else None
+        if joint and given:
+            pairs.append(self._joint_pairs(given))
+        which = self._which(port, sum(bool(p) << c for c, p in enumerate(pairs)) if given else 0)
         out, counts = [], [0, 0]
         for c, n in enumerate(bits):
             found = self.low.code(port, c > 0, pairs[c] if given else None) if which >> c & 1 else []
@@ -389,6 +387,10 @@ class Macroblocks:
             else:
                 highs = self.low_scan.spread(found)
             out.append([0] + [low_part(port, n, highs[k], given[c][k] if given else 0) if n else highs[k] for k in range(1, 16)])
+        if joint:
+            found = self.low.code(port, True, pairs[1] if given else None, CHROMA_START[self.chroma]) if which & 2 else []
+            counts[1] += len(found)
+            out += self._joint(port, given, found)
         self.low_bits.count(*counts)
         if settle:
             for code in (self.dc_kind, *self.dc_level):
@@ -396,6 +398,45 @@ class Macroblocks:
             self.low.settle()
         return out
 
+    def _which(self, port, which: int) -> int:
+        """Which planes (halved chroma's two count as one) have coded lowpass coefficients."""
+        if self.planes == 1:
+            return port.field(1, which)
+        n = 3 if self.chroma == 16 else 2
+        every = (1 << n) - 1
+        if self.none <= 0 or self.full < 0:
+            turn = self.full < self.none
+            which = port.word(LOW_PATTERNS[n], every - which if turn else which)
+            which = every - which if turn else which
+        else:
+            which = port.field(n, which)
+        self.full = max(-8, min(7, self.full + 1 - 4 * (which == every)))
+        self.none = max(-8, min(7, self.none + 1 - 4 * (which == 0)))
+        return which
+
+    def _joint_pairs(self, given: list[list[int]]) -> list[tuple[int, int]]:
+        out, run, n = [], 0, self.low_bits.bits[1]
+        for v in (given[c][k] for k in CHROMA_ORDER[self.chroma] for c in (1, 2)):
+            high = abs(v) >> n
+            if high:
+                out.append((run, -high if v < 0 else high))
+            run = 0 if high else run + 1
+        return out
+
+    def _joint(self, port, given, found: list[tuple[int, int]]) -> list[list[int]]:
+        n, order = self.low_bits.bits[1], CHROMA_ORDER[self.chroma]
+        highs, at = [[0] * self.chroma, [0] * self.chroma], 0
+        for run, high in found:
+            at += run
+            if at >= 2 * len(order):
+                raise BadImage("a run beyond its block")
+            highs[at % 2][order[at // 2]] = high
+            at += 1
+        for k in range(1, self.chroma) if n else ():
+            for c in range(2):
+                highs[c][k] = low_part(port, n, highs[c][k], given[c + 1][k] if given else 0)
+        return highs
+
     def highpass(self, port, flex, given, scan: int, seeds: list[int], forget: bool, settle: bool):
         """Patterns and the coefficients of all blocks of each plane, in the stream's order of blocks. ``seeds`` are the neighbours' bits."""
         if forget:
@@ -405,19 +446,19 @@ class Macroblocks:
         patterns = [sum(any(abs(v) >> n for v in b[1:]) << j for j, b in enumerate(blocks)) for blocks, n in zip(given, bits, strict=True)] if given else []
         sent = []
         for c, p in enumerate(patterns):
-            sent.append(self.patterns.differences(int(c > 0), p, seeds[c]))
-            self.patterns.count(int(c > 0), p)
+            sent.append(self.patterns.differences(int(c > 0), p, seeds[c], self.blocks[c]))
+            self.patterns.count(int(c > 0), p, self.blocks[c])
         sent = self._patterns(port, sent or [0] * self.planes)
         if not given:
             for c, s in enumerate(sent):
-                patterns.append(self.patterns.pattern(int(c > 0), s, seeds[c]))
-                self.patterns.count(int(c > 0), patterns[c])
+                patterns.append(self.patterns.pattern(int(c > 0), s, seeds[c], self.blocks[c]))
+                self.patterns.count(int(c > 0), patterns[c], self.blocks[c])
         order, out, counts = self.scans[scan], [], [0, 0]
         for c, n in enumerate(bits):
             rest = max(n - self.dropped, 0) if self.flexible else 0
             lost = n - rest
             blocks = []
-            for j in range(16):
+            for j in range(self.blocks[c]):
                 values = given[c][j] if given else [0] * 16
                 highs = [0] * 16
                 if patterns[c] >> j & 1:
@@ -437,18 +478,22 @@ class Macroblocks:
             self.high.settle()
         return patterns, out
 
+    @staticmethod
+    def _quarter(pattern: int, q: int, blocks: int) -> int:
+        if blocks == 8:
+            return sum((pattern >> j & 1) << i for i, j in enumerate(QUARTERS[q]))
+        return pattern >> q & 1 if blocks == 4 else pattern >> 4 * q & 15
+
     def _patterns(self, port, sent: list[int]) -> list[int]:
         """Sixteen bits of each plane: grey planes alone, three planes together by quarters."""
         got = [0] * self.planes
-        whole = 0
-        for p in sent:
-            whole |= p
-        there = sum((whole >> 4 * q & 15 > 0) << q for q in range(4))
+        parts = [[self._quarter(p, q, self.blocks[c]) for c, p in enumerate(sent)] for q in range(4)]
+        there = sum(any(part) << q for q, part in enumerate(parts))
         there = four(port, self.superblocks.word(port, there.bit_count()), there)
         for q in range(4):
             if not there >> q & 1:
                 continue
-            part = [p >> 4 * q & 15 for p in sent]
+            part = parts[q]
             group = next(g for g, held in enumerate(NIBBLES) if part[0] in held)
             chroma = sum((v > 0) << k for k, v in enumerate(part[1:]))
             symbol = self.nibbles.word(port, max(group - 1, 0) if not chroma else min(group + 5, 8))
@@ -462,7 +507,14 @@ class Macroblocks:
             luma = held[port.word(OF_FOUR if len(held) == 4 else OF_TWO, pick)] if len(held) > 1 else held[0]
             got[0] |= luma << 4 * q
             for k in range(2):
-                if chroma >> k & 1:
+                if not chroma >> k & 1:
+                    continue
+                if self.chroma == 4:
+                    got[k + 1] |= 1 << q
+                elif self.chroma == 8:
+                    two = 1 + port.word(PICK[3], part[k + 1] - 1)
+                    got[k + 1] |= sum((two >> i & 1) << j for i, j in enumerate(QUARTERS[q]))
+                else:
                     n = 1 + self.chroma_blocks.word(port, part[k + 1].bit_count() - 1)
                     got[k + 1] |= four(port, n, part[k + 1]) << 4 * q
         return got

@@ -10,7 +10,7 @@ from ..functions import float_pixel
 from ..operators import macroblocks, overlap
 from . import jxr
 from .jxr import HighBits, HighBitsWriter
-from .jxr_coefficients import BLOCKS, Macroblocks, Reader, Writer
+from .jxr_coefficients import BLOCKS, NEIGHBOURS, Macroblocks, Reader, Writer
 from .raster import LINEAR, BadImage, Color, Raster
 
 # The place of each sample of a block, rows first, and of the sixteen lowest coefficients of a macroblock.
@@ -19,6 +19,12 @@ LOWEST = [0, 128, 64, 208, 32, 240, 48, 224, 16, 192, 80, 144, 112, 176, 96, 160
 # The coefficients of a block that a neighbour in the same macroblock foretells.
 FROM_ABOVE, FROM_LEFT = [2, 9, 10], [1, 5, 6]
 LEFT, ABOVE, BOTH, NEITHER = range(4)
+# By the number of chroma's blocks, the lowest coefficients that tell where edges run, luma's weight against chroma's, and what is foretold from the left and from above.
+LEANING = {16: ([1], [4]), 4: ([1], [2]), 8: ([1, 5], [2, 6])}
+LUMA_WEIGHT = {16: 2, 4: 8, 8: 4}
+SIDES = {16: ([(0, 0), (1, 1), (2, 2), (3, 3)], [(0, 0), (4, 4), (8, 8), (12, 12)]), 4: ([(0, 0), (1, 1)], [(0, 0), (2, 2)]), 8: ([(0, 0), (1, 1), (4, 4), (5, 5)], [(0, 0), (4, 4), (2, 6)])}
+# Rows and columns of chroma's blocks by the internal colours.
+SHAPES = {jxr.YUV420: (2, 2), jxr.YUV422: (4, 2), jxr.YUV444: (4, 4), jxr.GREY: (4, 4)}
 #: Bits that samples gain before the colour transform where the arithmetic is scaled.
 SCALE = 3
 # Output depths, their middle and range.
@@ -35,7 +41,7 @@ MANTISSA, BIAS = 13, 4
 
 @dataclass
 class Options:
-    """How a plane is coded: quantisers of the three bands, levels of overlap, order of bands, tiles (columns and rows in macroblocks) and what is left out."""
+    """How a plane is coded: quantisers of the three bands, levels of overlap, order of bands, tiles (columns and rows in macroblocks) what is left out, and whether chroma is halved."""
 
     steps: tuple[int, int, int] = (0, 0, 0)
     overlap: int = 0
@@ -44,6 +50,7 @@ class Options:
     tile_heights: list[int] = field(default_factory=list)
     flexible: bool = True
     dropped: int = 0
+    color: int = jxr.YUV444
 
 
 def step(index: int, scaled: bool, shift: int = 1) -> int:
@@ -63,62 +70,91 @@ def quantized(v: np.ndarray, by: int, offset: int) -> np.ndarray:
 # --- samples and macroblocks ---
 
 
-def laid(plane: np.ndarray) -> np.ndarray:
-    """Macroblocks of a plane of whole ones in the order that the transforms take: blocks in columns."""
-    h, w = plane.shape
-    v = plane.reshape(h // 16, 4, 4, w // 16, 4, 4).transpose(0, 3, 4, 1, 2, 5).reshape(h // 16, w // 16, 4, 4, 16)
+def laid(plane: np.ndarray, shape: tuple[int, int] = (4, 4)) -> np.ndarray:
+    """Macroblocks (``shape`` of blocks) of a plane of whole ones in the order that the transforms take: blocks in columns."""
+    (h, w), (down, across) = plane.shape, shape
+    rows, columns = h // (4 * down), w // (4 * across)
+    v = plane.reshape(rows, down, 4, columns, across, 4).transpose(0, 3, 4, 1, 2, 5).reshape(rows, columns, across, down, 16)
     out = np.empty_like(v)
     out[..., PLACES] = v
-    return out.reshape(h // 16, w // 16, 256)
+    return out.reshape(rows, columns, 16 * down * across)
 
 
-def spread(p: np.ndarray) -> np.ndarray:
-    rows, columns = p.shape[:2]
-    v = p.reshape(rows, columns, 4, 4, 16)[..., PLACES].reshape(rows, columns, 4, 4, 4, 4)
-    return v.transpose(0, 3, 4, 1, 2, 5).reshape(16 * rows, 16 * columns)
+def spread(p: np.ndarray, shape: tuple[int, int] = (4, 4)) -> np.ndarray:
+    (rows, columns), (down, across) = p.shape[:2], shape
+    v = p.reshape(rows, columns, across, down, 16)[..., PLACES].reshape(rows, columns, across, down, 4, 4)
+    return v.transpose(0, 3, 4, 1, 2, 5).reshape(4 * down * rows, 4 * across * columns)
 
 
-def _second_overlap(p: np.ndarray, back: bool) -> np.ndarray:
+def _second_overlap(p: np.ndarray, shape: tuple[int, int], back: bool) -> np.ndarray:
     """The overlap of the lowest coefficients of blocks, which make a plane of their own."""
-    rows, columns = p.shape[:2]
-    low = p[..., ::16].reshape(rows, columns, 4, 4).transpose(0, 3, 1, 2).reshape(4 * rows, 4 * columns)
-    low = overlap.filtered(low, back).reshape(rows, 4, columns, 4).transpose(0, 2, 3, 1)
+    (rows, columns), (down, across) = p.shape[:2], shape
+    low = p[..., ::16].reshape(rows, columns, across, down).transpose(0, 3, 1, 2).reshape(down * rows, across * columns)
+    low = (overlap.filtered if across == 4 else overlap.pairs_filtered)(low, back).reshape(rows, down, columns, across).transpose(0, 2, 3, 1)
     p = p.copy()
-    p[..., ::16] = low.reshape(rows, columns, 16)
+    p[..., ::16] = low.reshape(rows, columns, down * across)
     return p
 
 
-def transformed(plane: np.ndarray, levels: int, halve: bool) -> np.ndarray:
-    p = laid(overlap.filtered(plane) if levels else plane)
-    p = macroblocks.block_forward(p.reshape(*p.shape[:2], 16, 16)).reshape(p.shape)
+def transformed(plane: np.ndarray, levels: int, halve: bool, shape: tuple[int, int] = (4, 4)) -> np.ndarray:
+    p = laid(overlap.filtered(plane) if levels else plane, shape)
+    p = macroblocks.block_forward(p.reshape(*p.shape[:2], -1, 16)).reshape(p.shape)
     if levels > 1:
-        p = _second_overlap(p, False)
+        p = _second_overlap(p, shape, False)
+    if shape != (4, 4):
+        return macroblocks.chroma_low_forward(p, shape[0])
     return macroblocks.low_forward(macroblocks.scaled(p, True) if halve else p)
 
 
-def restored(p: np.ndarray, levels: int, double: bool) -> np.ndarray:
-    p = macroblocks.low_inverse(p)
-    if double:
-        p = macroblocks.scaled(p, False)
+def restored(p: np.ndarray, levels: int, double: bool, shape: tuple[int, int] = (4, 4)) -> np.ndarray:
+    if shape != (4, 4):
+        p = macroblocks.chroma_low_inverse(p, shape[0])
+    else:
+        p = macroblocks.low_inverse(p)
+        p = macroblocks.scaled(p, False) if double else p
     if levels > 1:
-        p = _second_overlap(p, True)
-    p = macroblocks.block_inverse(p.reshape(*p.shape[:2], 16, 16)).reshape(p.shape)
-    plane = spread(p)
+        p = _second_overlap(p, shape, True)
+    p = macroblocks.block_inverse(p.reshape(*p.shape[:2], -1, 16)).reshape(p.shape)
+    plane = spread(p, shape)
     return overlap.filtered(plane, True) if levels else plane
 
 
 # --- prediction ---
 
 
-def _foretold(high: np.ndarray, direction: np.ndarray, back: bool) -> np.ndarray:
+def _halved(lines: np.ndarray) -> np.ndarray:
+    """Each second sample of the last axis, smoothed over five."""
+    v = np.concatenate([lines[..., 2:0:-1], lines, lines[..., -2:-1]], axis=-1)
+    n = lines.shape[-1]
+    a, b, c, d, e = (v[..., k : k + n : 2] for k in range(5))
+    return 4 * (b + c + d) + 2 * c + a + e + 8 >> 4
+
+
+def _doubled(lines: np.ndarray) -> np.ndarray:
+    """Twice as many samples on the last axis: each, then the mean with the next; the last one twice."""
+    after = np.concatenate([lines[..., 1:], lines[..., -1:]], axis=-1)
+    return np.stack([lines, lines + after + 1 >> 1], axis=-1).reshape(*lines.shape[:-1], -1)
+
+
+def subsampled(plane: np.ndarray, down: bool) -> np.ndarray:
+    """A chroma plane of half the columns, and of half the rows if ``down``."""
+    v = _halved(plane)
+    return _halved(v.T).T if down else v
+
+
+def upsampled(plane: np.ndarray, down: bool) -> np.ndarray:
+    return _doubled(_doubled(plane.T).T if down else plane)
+
+
+def _foretold(high: np.ndarray, direction: np.ndarray, back: bool, shape: tuple[int, int]) -> np.ndarray:
     """Coefficients less those of the block above or to the left, where the macroblock leans that way, or with them again."""
-    v = high.reshape(*high.shape[:3], 4, 4, 16).copy()  # columns of blocks, then rows
-    for way, axis, places in ((ABOVE, 4, FROM_ABOVE), (LEFT, 3, FROM_LEFT)):
+    v = high.reshape(*high.shape[:2], shape[1], shape[0], 16).copy()  # columns of blocks, then rows
+    for way, axis, places in ((ABOVE, 2, FROM_ABOVE), (LEFT, 1, FROM_LEFT)):
         rows, columns = np.nonzero(direction == way)
         part = v[rows, columns]
         for k in places:
             line = part[..., k]
-            part[..., k] = np.cumsum(line, axis=axis - 2) if back else np.diff(line, axis=axis - 2, prepend=0)
+            part[..., k] = np.cumsum(line, axis=axis) if back else np.diff(line, axis=axis, prepend=0)
         v[rows, columns] = part
     return v.reshape(high.shape)
 
@@ -132,7 +168,7 @@ def lean(low: list[list[int]]) -> int:
     y = [abs(v) for v in low[0]]
     across, down = y[1] + y[2] + y[3], y[4] + y[8] + y[12]
     for plane in low[1:]:
-        across, down = across + abs(plane[1]), down + abs(plane[4])
+        across, down = across + sum(abs(plane[k]) for k in LEANING[len(plane)][0]), down + sum(abs(plane[k]) for k in LEANING[len(plane)][1])
     return _sides(across, down)
 
 
@@ -140,7 +176,7 @@ def _source(x: int, y: int, left, above, corner) -> int:
     """Which neighbour the lowest coefficient comes from."""
     if not x or not y:
         return NEITHER if x == y else ABOVE if y else LEFT
-    weights = (2, 1, 1) if len(left) == 3 else (1,)
+    weights = (LUMA_WEIGHT[len(left[1])], 1, 1) if len(left) == 3 else (1,)
     gap = lambda side: sum(w * abs(a[0] - b[0]) for w, a, b in zip(weights, corner, side, strict=True))
     return _sides(gap(left), gap(above))
 
@@ -150,15 +186,28 @@ def _guess(source: int, left, above, c: int) -> list[tuple[int, int]]:
     if source == NEITHER:
         return []
     if source == BOTH:
-        return [(0, left[c][0] + above[c][0] >> 1)]
+        return [(0, left[c][0] + above[c][0] + (len(left[c]) < 16) >> 1)]
     side = above if source == ABOVE else left
-    return [(k, side[c][k]) for k in ((0, 4, 8, 12) if source == ABOVE else (0, 1, 2, 3))]
+    return [(k, side[c][of]) for k, of in SIDES[len(side[c])][source]]
+
+
+def _empty(rows: int, columns: int, blocks: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.zeros((rows, columns, n), np.int64) for n in blocks], [np.zeros((rows, columns, n, 16), np.int64) for n in blocks]
+
+
+def _order(shape: tuple[int, int]) -> list[int]:
+    """Blocks in the stream's order by their place in columns."""
+    return BLOCKS if shape == (4, 4) else [k * shape[0] + r for r in range(shape[0]) for k in range(2)]
+
+
+def _lowest(shape: tuple[int, int]) -> list[int]:
+    return LOWEST if shape == (4, 4) else [16 * k for k in _order(shape)]
 
 
-def tile(ports, rows: int, columns: int, planes: int, flexible: bool, dropped: int, given=None):
+def tile(ports, rows: int, columns: int, planes: int, chroma: int, flexible: bool, dropped: int, given=None):
     """The macroblocks of a tile through its ports (lowest, lowpass, highpass, plain bits): lowest coefficients and the rest, undone prediction. ``given`` is the same when writing."""
-    coder = Macroblocks(planes, flexible, dropped)
-    lows, highs = np.zeros((rows, columns, planes, 16), np.int64), np.zeros((rows, columns, planes, 16, 16), np.int64)
+    coder = Macroblocks(planes, flexible, dropped, chroma)
+    lows, highs = _empty(rows, columns, coder.blocks)
     above_row, above_patterns = [], []
     for y in range(rows):
         row, patterns = [], []
@@ -168,8 +217,10 @@ def tile(ports, rows: int, columns: int, planes: int, flexible: bool, dropped: i
             guesses = [_guess(source, left, above, c) for c in range(planes)]
             sent = None
             if given:
-                sent = given[0][y, x].tolist()
+                sent = [v[y, x].tolist() for v in given[0]]
                 for block, guess in zip(sent, guesses, strict=True):
+                    if len(block) == 8 and source == ABOVE:
+                        block[6] -= block[2]
                     for k, v in guess:
                         block[k] -= v
             forget, settle = x % 16 == 0, x % 16 == 0 or x + 1 == columns
@@ -179,19 +230,25 @@ def tile(ports, rows: int, columns: int, planes: int, flexible: bool, dropped: i
                 block[0] = v
                 for k, more in guess:
                     block[k] += more
+                if len(block) == 8 and source == ABOVE:
+                    block[6] += block[2]
             row.append(low)
-            seeds = [patterns[x - 1][c] >> 5 & 1 if x else above_patterns[x][c] >> 10 & 1 if y else 1 for c in range(planes)]
-            found, high = coder.highpass(ports[2], ports[3], given[1][y, x].tolist() if given else None, int(lean(low) == ABOVE), seeds, forget, settle)
+            seeds = [patterns[x - 1][c] >> NEIGHBOURS[n][0] & 1 if x else above_patterns[x][c] >> NEIGHBOURS[n][1] & 1 if y else 1 for c, n in enumerate(coder.blocks)]
+            found, high = coder.highpass(ports[2], ports[3], [v[y, x].tolist() for v in given[1]] if given else None, int(lean(low) == ABOVE), seeds, forget, settle)
             patterns.append(found)
             if not given:
-                lows[y, x], highs[y, x] = low, high
+                for c in range(planes):
+                    lows[c][y, x], highs[c][y, x] = low[c], high[c]
         above_row, above_patterns = row, patterns
     return lows, highs
 
 
-def _leans(lows: np.ndarray) -> np.ndarray:
-    v = np.abs(lows)
-    across, down = v[:, :, 0, 1:4].sum(2) + v[:, :, 1:, 1].sum(2), v[:, :, 0, 4:13:4].sum(2) + v[:, :, 1:, 4].sum(2)
+def _leans(lows: list[np.ndarray]) -> np.ndarray:
+    y = np.abs(lows[0])
+    across, down = y[..., 1:4].sum(2), y[..., 4:13:4].sum(2)
+    for v in lows[1:]:
+        level, steep = LEANING[v.shape[2]]
+        across, down = across + np.abs(v[..., level]).sum(2), down + np.abs(v[..., steep]).sum(2)
     return np.where(4 * across < down, ABOVE, np.where(4 * down < across, LEFT, BOTH))
 
 
@@ -211,23 +268,25 @@ def _areas(widths: list[int], heights: list[int], columns: int, rows: int):
     return [(t, x, b - t, r - x) for t, b in zip(ys, ys[1:], strict=False) for x, r in zip(xs, xs[1:], strict=False)]
 
 
-def write_planes(planes: np.ndarray, size: tuple[int, int], depth: int, o: Options) -> bytes:
+def write_planes(planes: list[np.ndarray], size: tuple[int, int], depth: int, o: Options) -> bytes:
     """A codestream of centred planes (already scaled where that is due) of whole macroblocks."""
     n, (height, width) = len(planes), size
     scaled = is_scaled(o, depth)
-    levels = [transformed(p, o.overlap, scaled and c > 0) for c, p in enumerate(planes)]
-    v = np.stack(levels, axis=2)
+    color = jxr.GREY if n == 1 else o.color
+    shapes = [(4, 4)] + [SHAPES[color]] * (n - 1)
     dc, lp, hp = _steps([[i] * n for i in o.steps], scaled, n)
-    v = v.reshape(*v.shape[:3], 16, 16)
-    flat = v.reshape(*v.shape[:3], 256)
-    lows, highs = flat[..., LOWEST].copy(), v.copy()
-    for c in range(n):
-        highs[:, :, c] = quantized(highs[:, :, c], hp[c], 3 * hp[c] + 1 >> 3 if hp[c] > 1 else 0)
-        lows[:, :, c, 0] = quantized(lows[:, :, c, 0], dc[c], dc[c] >> 1)
-        lows[:, :, c, 1:] = quantized(lows[:, :, c, 1:], lp[c], 3 * lp[c] + 1 >> 3 if lp[c] > 1 else 0)
-    highs[..., 0] = 0
-    highs = _foretold(highs, _leans(lows), False)[:, :, :, BLOCKS]
-    rows, columns = lows.shape[:2]
+    lows, highs = [], []
+    for c, (p, shape) in enumerate(zip(planes, shapes, strict=True)):
+        v = transformed(p, o.overlap, scaled and c > 0, shape)
+        low = v[..., _lowest(shape)]
+        low[..., :1], low[..., 1:] = quantized(low[..., :1], dc[c], dc[c] >> 1), quantized(low[..., 1:], lp[c], 3 * lp[c] + 1 >> 3 if lp[c] > 1 else 0)
+        high = quantized(v, hp[c], 3 * hp[c] + 1 >> 3 if hp[c] > 1 else 0).reshape(*v.shape[:2], -1, 16)
+        high[..., 0] = 0
+        lows.append(low)
+        highs.append(high)
+    leans = _leans(lows)
+    highs = [_foretold(v, leans, False, shape)[:, :, _order(shape)] for v, shape in zip(highs, shapes, strict=True)]
+    rows, columns = lows[0].shape[:2]
     areas = _areas(o.tile_widths, o.tile_heights, columns, rows)
     bands = 1 if not o.by_frequency else 4 if o.flexible else 3
     packets = []
@@ -242,7 +301,7 @@ def write_planes(planes: np.ndarray, size: tuple[int, int], depth: int, o: Optio
         ports = [Writer(out) for out in outs]
         ports = ports * 4 if bands == 1 else ports + [ports[-1]] * (4 - bands)
         area = np.s_[t : t + down, x : x + across]
-        tile(ports, down, across, n, o.flexible, o.dropped, (lows[area], highs[area]))
+        tile(ports, down, across, n, lows[-1].shape[2], o.flexible, o.dropped, ([v[area] for v in lows], [v[area] for v in highs]))
         for out in outs:
             out.align()
             packets.append(out.bytes())
@@ -251,7 +310,7 @@ def write_planes(planes: np.ndarray, size: tuple[int, int], depth: int, o: Optio
     header = jxr.ImageHeader(width, height, GREY_OUT if n == 1 else RGB_OUT, depth, o.overlap, False, o.by_frequency, 0, tiled or o.by_frequency, True, o.dropped > 0, tiled=tiled, tile_widths=o.tile_widths, tile_heights=o.tile_heights)
     header.write(out)
     more = {"mantissa": MANTISSA, "bias": BIAS} if depth == FLOAT32 else {}
-    jxr.PlaneHeader(jxr.GREY if n == 1 else jxr.YUV444, scaled, jxr.ALL_BANDS if o.flexible else jxr.NO_FLEXBITS, n, steps=[[i] * n for i in o.steps], **more).write(out, depth)
+    jxr.PlaneHeader(color, scaled, jxr.ALL_BANDS if o.flexible else jxr.NO_FLEXBITS, n, steps=[[i] * n for i in o.steps], **more).write(out, depth)
     if header.index:
         out.put(1, 16)
         at = 0
@@ -268,7 +327,7 @@ def write_planes(planes: np.ndarray, size: tuple[int, int], depth: int, o: Optio
 
 
 def is_scaled(o: Options, depth: int) -> bool:
-    return (max(o.steps) > 1 or not o.flexible) and depth not in (INT32, FLOAT32)
+    return (max(o.steps) > 1 or not o.flexible or o.color != jxr.YUV444) and depth not in (INT32, FLOAT32)
 
 
 def read_planes(data: bytes):
@@ -276,7 +335,7 @@ def read_planes(data: bytes):
     bits = HighBits(data)
     h = jxr.ImageHeader.read(bits)
     p = jxr.PlaneHeader.read(bits, h.depth)
-    if p.color not in (jxr.GREY, jxr.YUV444) or p.bands > jxr.NO_FLEXBITS:
+    if p.color not in SHAPES or p.bands > jxr.NO_FLEXBITS:
         raise BadImage("colours or bands that are not decoded")
     if h.hard_tiles and len(h.tile_widths) + len(h.tile_heights):
         raise BadImage("tiles that don't overlap")
@@ -305,7 +364,8 @@ def read_planes(data: bytes):
         raise BadImage("no index of tiles")
     rest = jxr.read_long(bits)
     base = bits.at // 8 + rest
-    lows, highs = np.zeros((rows, columns, p.planes, 16), np.int64), np.zeros((rows, columns, p.planes, 16, 16), np.int64)
+    shapes = [(4, 4)] + [SHAPES[p.color]] * (p.planes - 1)
+    lows, highs = _empty(rows, columns, [a * b for a, b in shapes])
     for number, (t, x, down, across) in enumerate(areas):
         readers, dropped = [], 0
         for band in range(bands):
@@ -325,18 +385,21 @@ def read_planes(data: bytes):
         ports = [Reader(r) for r in readers]
         ports = ports * 4 if bands == 1 else ports + [ports[-1]] * (4 - bands)
         area = np.s_[t : t + down, x : x + across]
-        lows[area], highs[area] = tile(ports, down, across, p.planes, p.bands == jxr.ALL_BANDS, dropped)
-    in_columns = np.empty_like(highs)
-    in_columns[:, :, :, BLOCKS] = highs
-    v = _foretold(in_columns, _leans(lows), True).reshape(rows, columns, p.planes, 256)
+        parts = tile(ports, down, across, p.planes, lows[-1].shape[2], p.bands == jxr.ALL_BANDS, dropped)
+        for whole, part in ((lows, parts[0]), (highs, parts[1])):
+            for c in range(p.planes):
+                whole[c][area] = part[c]
+    leans, out = _leans(lows), []
     dc, lp, hp = _steps(indices, p.scaled, p.planes)
-    out = []
-    for c in range(p.planes):
-        coefficients = v[:, :, c] * hp[c]
-        low = lows[:, :, c] * lp[c]
-        low[..., 0] = lows[:, :, c, 0] * dc[c]
-        coefficients[..., LOWEST] = low
-        out.append(restored(coefficients, h.overlap, p.scaled and c > 0))
+    for c, shape in enumerate(shapes):
+        in_columns = np.empty_like(highs[c])
+        in_columns[:, :, _order(shape)] = highs[c]
+        v = _foretold(in_columns, leans, True, shape).reshape(rows, columns, -1) * hp[c]
+        low = lows[c] * lp[c]
+        low[..., 0] = lows[c][..., 0] * dc[c]
+        v[..., _lowest(shape)] = low
+        plane = restored(v, h.overlap, p.scaled and c > 0, shape)
+        out.append(plane if shape == (4, 4) else upsampled(plane, shape == SHAPES[jxr.YUV420]))
     return h, p, np.stack(out)
 
 
@@ -378,7 +441,10 @@ def codestream(samples: np.ndarray, o: Options) -> bytes:
     v = np.moveaxis(v, 2, 0) << (SCALE if is_scaled(o, depth) else 0)
     v = lifted(v) if n == 3 else v.copy()
     v[0] -= MIDDLE.get(depth, 0) << (SCALE if is_scaled(o, depth) else 0)
-    return write_planes(v, (height, width), depth, o)
+    planes = list(v)
+    if n == 3 and o.color != jxr.YUV444:
+        planes[1:] = [subsampled(p, o.color == jxr.YUV420) for p in planes[1:]]
+    return write_planes(planes, (height, width), depth, o)
 
 
 def samples_of(data: bytes) -> np.ndarray:

@@ -51,6 +51,7 @@ def test_image_headers(h):
 
 @pytest.mark.parametrize(("h", "depth"), [
     (jxr.PlaneHeader(steps=[[9], [8], [7]]), 1), (jxr.PlaneHeader(jxr.YUV444, True, jxr.NO_HIGHPASS, 3, 4, steps=[[1, 2, 2], None]), 2),
+    (jxr.PlaneHeader(jxr.YUV420, True, planes=3, steps=[[4] * 3, [5] * 3, [6, 7, 8]]), 1),
     (jxr.PlaneHeader(jxr.COMPONENTS, False, jxr.DC_ONLY, 5, 0, 10, -3, [[1, 2, 3, 4, 5]]), 7), (jxr.PlaneHeader(jxr.YUVK, planes=4, steps=[None, [6, 6, 6, 6], None]), 1),
 ])
 def test_plane_headers(h, depth):
@@ -63,6 +64,13 @@ def test_plane_headers(h, depth):
     assert jxr.PlaneHeader.read(bits, depth) == h and bits.at == 8 * len(data)
 
 
+def test_bands_may_share_quantisers():
+    out = jxr.HighBitsWriter()
+    for value, n in ((jxr.GREY, 3), (0, 1), (jxr.ALL_BANDS, 4), (1, 1), (9, 8), (1, 1), (0, 1), (1, 1), (7, 8)):
+        out.put(value, n)
+    assert jxr.PlaneHeader.read(jxr.HighBits(out.bytes()), 1).steps == [[9], [9], [7]]
+
+
 def test_numbers_indices_and_profiles():
     out = jxr.HighBitsWriter()
     for n in range(1, 17):

@@ -47,6 +47,35 @@ def test_lossy(n, more):
     assert len(data) < len(whole) and np.abs(jxr_image.read(data).astype(int) - v).mean() < 5
 
 
+@pytest.mark.parametrize("color", [jxr.YUV420, jxr.YUV422])
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_halved_chroma(color, levels):
+    y, x = np.mgrid[0:70, 0:90]
+    smooth = np.stack([60 + x, 200 - y, 100 + (x + y) // 4], axis=2).astype(np.uint8)
+    for more in ({}, {"by_frequency": True}, {"tile_widths": [2, 1], "tile_heights": [2]}):
+        got = jxr_image.read(jxr_image.write(smooth, Options(overlap=levels, color=color, **more)))
+        assert np.abs(got[:-4, :-4].astype(int) - smooth[:-4, :-4]).max() <= 3, more
+    v = picture(3, np.uint8, 70, 90)
+    lossy, fine = (jxr_image.write(v, Options((k, k, k), levels, color=color)) for k in (50, 0))
+    assert 4 * len(lossy) < len(fine)  # scaled samples keep three bits more
+    assert np.abs(jxr_image.read(fine).mean(2) - v.mean(2)).mean() < 2 and np.abs(jxr_image.read(lossy).mean(2) - v.mean(2)).mean() < 6
+    grey = np.repeat(picture(1, np.uint8), 3, axis=2)
+    assert (jxr_image.read(jxr_image.write(grey, Options(overlap=levels, color=color))) == grey).all()
+
+
+def test_chroma_filters():
+    rng = np.random.default_rng(4)
+    for shape in ((2, 2), (4, 2), (2, 8), (8, 6)):
+        v = rng.integers(-900, 900, shape)
+        assert (overlap.pairs_filtered(overlap.pairs_filtered(v), True) == v).all()
+        assert (overlap.pairs_filtered(overlap.pairs_filtered(v, True)) == v).all()
+    for down in (False, True):
+        flat = np.full((16, 16), 5)
+        assert (jxr_image.upsampled(jxr_image.subsampled(flat, down), down) == 5).all()
+    line = np.arange(16)[None] * 10
+    assert jxr_image.subsampled(line, False)[0, 1:-1].tolist() == list(range(20, 140, 20)) and jxr_image.upsampled(line, False)[0, :4].tolist() == [0, 5, 10, 15]
+
+
 def test_steps_follow_the_quantiser():
     v = picture(1, np.uint8, 64, 64)
     sizes = [len(jxr_image.write(v, Options((k, k, k)))) for k in (0, 8, 24, 40, 60, 90)]
