@@ -459,37 +459,49 @@ def read_permutation(bits: LowBits, code: Code, size: int, skip: int) -> list[in
     return out + left
 
 
+class Plan:
+    """One cluster's code for streams that share it."""
+
+    def __init__(self, streams: list[np.ndarray], hybrid: Hybrid | None = None):
+        self.hybrid = hybrid or Hybrid()
+        tokens = np.concatenate([self.hybrid.tokens(np.asarray(v, dtype=np.int64))[0] for v in streams])
+        largest = int(tokens.max()) if len(tokens) else 0
+        self.alphabet = max(5, largest.bit_length())
+        self.counts = to_counts(Counter(tokens.tolist()), 1 << self.alphabet)
+        self.slots = Ans.of(self.counts).slots()
+
+    def describe(self, out: LowBitsWriter, contexts: int) -> None:
+        """The code for ``contexts`` contexts."""
+        out.put(0, 1)
+        if contexts > 1:
+            out.put(1, 1)
+            out.put(0, 2)
+        out.put(0, 1)
+        out.put(self.alphabet - 5, 2)
+        self.hybrid.write(out, self.alphabet)
+        write_counts(out, self.counts)
+
+    def write(self, out: LowBitsWriter, values: np.ndarray) -> None:
+        """Symbols go last to first through the state; a word that a step sheds is read back right after its symbol."""
+        tokens, extra, sizes = self.hybrid.tokens(np.asarray(values, dtype=np.int64))
+        state = START
+        words: list[int | None] = []
+        for t in reversed(tokens.tolist()):
+            n = self.counts[t]
+            shed = None
+            if state >= n << 20:
+                shed, state = state & 0xFFFF, state >> 16
+            words.append(shed)
+            state = (state // n << PRECISION) + self.slots[t][state % n]
+        out.put(state, 32)
+        for shed, more, n in zip(reversed(words), extra.tolist(), sizes.tolist(), strict=True):
+            if shed is not None:
+                out.put(shed, 16)
+            out.put(more, n)
+
+
 def write_stream(out: LowBitsWriter, contexts: int, values: np.ndarray, hybrid: Hybrid | None = None) -> None:
-    """One cluster's code for ``contexts`` contexts and the values by it.
-
-    Symbols go last to first through the state; a word that a step sheds is
-    read back right after its symbol.
-    """
-    hybrid = hybrid or Hybrid()
-    tokens, extra, sizes = hybrid.tokens(np.asarray(values, dtype=np.int64))
-    largest = int(tokens.max()) if len(tokens) else 0
-    alphabet = max(5, largest.bit_length())
-    counts = to_counts(Counter(tokens.tolist()), 1 << alphabet)
-    out.put(0, 1)
-    if contexts > 1:
-        out.put(1, 1)
-        out.put(0, 2)
-    out.put(0, 1)
-    out.put(alphabet - 5, 2)
-    hybrid.write(out, alphabet)
-    write_counts(out, counts)
-    slots = Ans.of(counts).slots()
-    state = START
-    words: list[int | None] = []
-    for t in reversed(tokens.tolist()):
-        n = counts[t]
-        shed = None
-        if state >= n << 20:
-            shed, state = state & 0xFFFF, state >> 16
-        words.append(shed)
-        state = (state // n << PRECISION) + slots[t][state % n]
-    out.put(state, 32)
-    for shed, more, n in zip(reversed(words), extra.tolist(), sizes.tolist(), strict=True):
-        if shed is not None:
-            out.put(shed, 16)
-        out.put(more, n)
+    """One cluster's code for ``contexts`` contexts and the values by it."""
+    plan = Plan([values], hybrid)
+    plan.describe(out, contexts)
+    plan.write(out, values)

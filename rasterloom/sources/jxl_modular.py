@@ -55,6 +55,8 @@ class Frame:
     width: int = 0
     height: int = 0
     sizes: list[int] = field(default_factory=list)
+    color_scales: tuple[int, int] = (3, 2)  # of X and B, in steps of a fifth
+    smoothed: bool = True
 
     def count(self, side: int) -> int:
         return -(-self.width // side) * -(-self.height // side)
@@ -146,7 +148,7 @@ def read_frame(bits: LowBits, info: Info) -> Frame:
         if out.modular:
             out.group = 128 << bits.take(2)
         elif info.xyb:
-            bits.take(6)
+            out.color_scales = bits.take(3), bits.take(3)
         out.passes = bits.choice((1, 0), (2, 0), (3, 0), (4, 3))
         if out.passes > 1:
             scales = bits.choice((0, 0), (1, 0), (2, 0), (3, 1))
@@ -164,7 +166,7 @@ def read_frame(bits: LowBits, info: Info) -> Frame:
             if mode == 0:
                 bits.take(1)
         bits.at += 8 * bits.choice(*NAME)
-        _filters(bits, out.modular)
+        out.smoothed = _filters(bits, out.modular)
         _extensions(bits)
     out.width, out.height = -(-info.width // up), -(-info.height // up)
     groups = out.count(out.group)
@@ -190,13 +192,15 @@ def _blending(bits: LowBits, extra: bool, first: int | None) -> int:
     return first
 
 
-def _filters(bits: LowBits, modular: bool) -> None:
-    """Skips the smoothing filters' parameters."""
+def _filters(bits: LowBits, modular: bool) -> bool:
+    """Skips the smoothing filters' parameters; whether there is any."""
     if bits.take(1):
-        return
-    if bits.take(1) and bits.take(1):
+        return True
+    sharpened = bits.take(1)
+    if sharpened and bits.take(1):
         bits.at += 6 * 16
-    if bits.take(2):
+    rounds = bits.take(2)
+    if rounds:
         if not modular and bits.take(1):
             bits.at += 8 * 16
         if bits.take(1):
@@ -206,6 +210,7 @@ def _filters(bits: LowBits, modular: bool) -> None:
         if modular:
             bits.at += 16
     _extensions(bits)
+    return bool(sharpened or rounds)
 
 
 # --- trees ---
