@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import macroblocks
 from ..session import ship_package
-from ..sources import exr, facade, jpeg, jxl_modular, jxr, jxr_image, parts, png, tiff
+from ..sources import exr, facade, jpeg, jxl_lossy, jxl_modular, jxr, jxr_image, parts, png, tiff
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,8 @@ def encoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             return jxl_modular.write(np.repeat(bytes_of(v)[..., None], 3, axis=2))
         if kind == "jxr":
             return jxr_image.write(np.repeat(bytes_of(v)[..., None], 3, axis=2), jxr_image.Options(overlap=1, by_frequency=True))
+        if kind == "jxl_lossy":
+            return jxl_lossy.write(np.repeat(bytes_of(v)[..., None], 3, axis=2), 1.0)
         if kind == "jxr_420":
             return jxr_image.write(np.repeat(bytes_of(v)[..., None], 3, axis=2), jxr_image.Options(overlap=2, color=jxr.YUV420))
         if kind == "jxr_half":
@@ -120,10 +122,20 @@ def jxl_float_roundtrip(spark, sf_dir):
 
 def jpeg_roundtrip(spark, sf_dir):
     """Lossy: the size, and whether the mean sample is within one of the source's; a test holds the samples against their sources."""
-    lossy, exact = _sums(encoded(spark, sf_dir, "jpeg")), _sums(encoded(spark, sf_dir, "png"))
+    return _near(spark, sf_dir, "jpeg", 255)  # opaque
+
+
+def jxl_lossy_roundtrip(spark, sf_dir):
+    """The same by the lossy mode at a visual distance of one."""
+    return _near(spark, sf_dir, "jxl_lossy", 0)
+
+
+def _near(spark: SparkSession, sf_dir: str, kind: str, alpha: int) -> DataFrame:
+    """Of RGB with equal channels."""
+    lossy, exact = _sums(encoded(spark, sf_dir, kind)), _sums(encoded(spark, sf_dir, "png"))
     source = exact.select("image_id", F.col("total").alias("source"))
     area = F.col("width") * F.col("height")
-    near = F.abs((F.col("total") - 255 * area) / 3 - F.col("source")) <= area  # opaque RGB of equal channels
+    near = F.abs((F.col("total") - alpha * area) / 3 - F.col("source")) <= area
     return lossy.join(source, "image_id").select("image_id", "width", "height", near.alias("near"))
 
 
@@ -175,7 +187,7 @@ def jxr_core_transform(spark, sf_dir):
 
 
 QUERIES["jxr_core_transform"] = jxr_core_transform
-QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_roundtrip, jxl_float_roundtrip, jxr_roundtrip, jxr_420_roundtrip, jxr_half_roundtrip, file_info, header_info, file_parts)}
+QUERIES |= {f.__name__: f for f in (png_roundtrip, tiff_roundtrip, exr_roundtrip, jpeg_roundtrip, jxl_lossy_roundtrip, jxl_roundtrip, jxl_float_roundtrip, jxr_roundtrip, jxr_420_roundtrip, jxr_half_roundtrip, file_info, header_info, file_parts)}
 _PARTS = "('png', 'chunk', 3, 'IDAT'), ('jpeg', 'segment', 4, 'C0'), ('tiff', 'entry', 11, '256'), ('exr', 'attribute', 8, 'channels'), ('exr', 'channel', 1, 'Y'), ('jxl', 'codestream', 1, ''), ('jxr', 'entry', 9, 'BC01')"
 ORACLES |= {
     "jxr_core_transform": "SELECT vec_id // 16 AS image_id, CAST(4 * ceil(count(*) / 16) AS BIGINT) AS macroblocks, TRUE AS restored FROM embeddings WHERE len(embedding) = 64 GROUP BY 1",
@@ -187,6 +199,7 @@ ORACLES |= {
     "jxr_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "jxr_420_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 127 + 128))) AS v"),
     "jxr_half_roundtrip": _FLOATS.replace("unnest(embedding) AS v", "floor(CAST(unnest(embedding) AS DOUBLE) * 512) AS v"),
+    "jxl_lossy_roundtrip": f"SELECT image_id, width, height, TRUE AS near FROM ({_FLOATS})",
     "jpeg_roundtrip": f"SELECT image_id, width, height, TRUE AS near FROM ({_FLOATS})",
     "header_info": f"""SELECT image_id, format, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, channels, sample_format FROM ({_FLOATS}),
 (VALUES ('png', 1, 'UInt8'), ('jpeg', 4, 'UInt8'), ('tiff', 1, 'Float32'), ('exr', 1, 'Float32'), ('jxl', 3, 'UInt8'), ('jxl', 1, 'Float32'), ('jxr', 3, 'UInt8')) t(format, channels, sample_format)""",

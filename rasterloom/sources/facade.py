@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship_package
-from . import exr, gain_map, jpeg, jxl, jxl_modular, jxr, jxr_image, png, tiff
+from . import exr, gain_map, jpeg, jxl, jxl_lossy, jxl_modular, jxr, jxr_image, png, tiff
 from .raster import SCHEMA, BadImage, Raster
 
 
@@ -48,7 +48,7 @@ REGISTRY: list[Decoder] = [
     Decoder("tiff", (b"II*\0", b"MM\0*"), tiff.raster),
     Decoder("exr", (exr.MAGIC,), exr.raster),
     Decoder("jxr", (jxr.SIGNATURE,), jxr_image.raster),
-    Decoder("jxl", (jxl.CODESTREAM, jxl.CONTAINER), jxl_modular.raster),
+    Decoder("jxl", (jxl.CODESTREAM, jxl.CONTAINER), jxl_lossy.raster),
 ]
 
 
