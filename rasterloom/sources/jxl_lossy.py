@@ -51,9 +51,37 @@ def _scan() -> list[int]:
 
 SCAN = _scan()
 BY_PLACE, BY_LEFT = _unrolled(PLACE_RUNS), _unrolled(LEFT_RUNS)
-_ANGLE = np.array([[math.cos((2 * i + 1) * k * math.pi / 16) for i in range(8)] for k in range(8)])
-_ROOT = np.where(np.arange(8) > 0, math.sqrt(2), 1.0)[:, None]
-FORWARD, INVERSE = _ANGLE * _ROOT / 8, (_ANGLE * _ROOT).T
+
+
+def basis(n: int) -> np.ndarray:
+    """Row ``k`` gives output ``k`` of ``n`` samples, the mean first; ``n`` times its transpose is the inverse."""
+    k, i = np.mgrid[0:n, 0:n]
+    return np.cos((2 * i + 1) * k * math.pi / (2 * n)) * np.where(k > 0, math.sqrt(2), 1.0) / n
+
+
+FORWARD, INVERSE = basis(8), 8 * basis(8).T
+
+
+def _shrink(n: int) -> np.ndarray:
+    """What the lowest ``n`` of ``8 n`` frequencies are worth among ``n`` samples, each the mean of eight."""
+    k = np.arange(n) * math.pi / (16 * n)
+    return np.sinc(8 * k / math.pi) / np.sinc(k / math.pi)
+
+
+def large_forward(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of a block of any whole eighths, and the mean samples that its lowest ones stand for."""
+    (h, w), (rows, columns) = samples.shape, (samples.shape[0] // 8, samples.shape[1] // 8)
+    out = basis(h) @ samples @ basis(w).T
+    scale = np.outer(_shrink(rows), _shrink(columns))
+    return out, rows * columns * basis(rows).T @ (out[:rows, :columns] * scale) @ basis(columns)
+
+
+def large_inverse(coefficients: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Samples of a block; its lowest coefficients come from the means."""
+    (h, w), (rows, columns) = coefficients.shape, means.shape
+    v = coefficients.copy()
+    v[:rows, :columns] = basis(rows) @ means @ basis(columns).T / np.outer(_shrink(rows), _shrink(columns))
+    return h * w * basis(h).T @ v @ basis(w)
 
 
 def weights() -> np.ndarray:

@@ -31,6 +31,24 @@ def test_colours_and_blocks_return():
     assert np.allclose(jxl_lossy.blocks_of(np.full((1, 8, 8), 3.0))[0, 0, 0].ravel(), [3, *[0] * 63])
 
 
+@pytest.mark.parametrize(("rows", "columns"), [(1, 1), (2, 2), (4, 4), (1, 2), (4, 2), (32, 16)])
+def test_large_blocks(rows, columns):
+    y, x = np.mgrid[0 : 8 * rows, 0 : 8 * columns]
+    smooth = 5 + np.cos((y + 0.5) * np.pi / (8 * rows)) + 2 * np.cos((x + 0.5) * np.pi / (8 * columns))
+    for v in (smooth, np.random.default_rng(6).normal(0, 1, smooth.shape)):
+        coefficients, means = jxl_lossy.large_forward(v)
+        bare = coefficients.copy()
+        bare[:rows, :columns] = 0
+        assert means.shape == (rows, columns) and np.allclose(jxl_lossy.large_inverse(bare, means), v)
+    if rows * columns > 1:
+        means = jxl_lossy.large_forward(smooth)[1]
+        assert np.allclose(means, smooth.reshape(rows, 8, columns, 8).mean((1, 3)), atol=1e-9)
+
+
+def test_lowest_frequencies_shrink():
+    assert np.allclose(jxl_lossy._shrink(32)[[0, 1, 31]], [1, 0.9996047255830407, 0.6603391026591464])
+
+
 def test_scan_and_tables():
     assert sorted(jxl_lossy.SCAN) == list(range(64)) and jxl_lossy.SCAN[:6] == [0, 8, 1, 2, 9, 16]
     assert len(jxl_lossy.BY_PLACE) == len(jxl_lossy.BY_LEFT) == 63
