@@ -38,6 +38,9 @@ class HighBits:
 
     def take(self, n: int) -> int:
         first, end = self.at >> 3, self.at + n + 7 >> 3
+        if n == 1 and first < len(self.data):
+            self.at += 1
+            return self.data[first] >> (-self.at & 7) & 1
         held = self.data[first:end].ljust(end - first, b"\0")
         self.at += n
         return int.from_bytes(held, "big") >> (8 * end - self.at) & (1 << n) - 1

@@ -79,7 +79,10 @@ class Prefix:
             self.seen[first : first + (1 << 8 - len(w))] = [(symbol, len(w))] * (1 << 8 - len(w))
 
 
+LOW_PLACES = list(range(1, 16))
 TABLES = {n: [Prefix(w) for w in words] for n, words in WORDS.items()}
+RUN_SYMBOLS = [[max(sum(run >= v for v in least) - 1, 0) for run in range(15)] for least, _ in RUNS]
+LEVEL_SYMBOLS = [max(sum(size >= v for v in LEVELS[0]) - 1, 0) for size in range(18)]
 PICK = [None, None, Prefix(["1", "0"]), Prefix(["1", "01", "00"]), Prefix(["1", "01", "001", "000"])]
 OF_FOUR, OF_TWO = Prefix(["00", "01", "10", "11"]), Prefix(["0", "1"])
 OF_PAIRS = Prefix(["00", "01", "100", "101", "110", "111"])
@@ -102,6 +105,23 @@ class Reader:
         return got
 
 
+    def low_parts(self, n: int, highs: list[int], values: list[int], places: list[int], dropped: int = 0) -> list[int]:
+        """``low_part`` of the coefficients at ``places``, from one look at the stream."""
+        bits, out, mask = self.bits, [0] * len(highs), (1 << n) - 1
+        at, left = bits.at, len(places) * (n + 1)
+        seen, bits.at = bits.take(left), at + left
+        for k in places:
+            left -= n
+            size, high = seen >> left & mask, highs[k]
+            if high:
+                out[k] = (high << n) + size << dropped if high > 0 else -((-high << n) + size << dropped)
+            elif size:
+                left -= 1
+                out[k] = -(size << dropped) if seen >> left & 1 else size << dropped
+        bits.at -= left
+        return out
+
+
 class Writer:
     def __init__(self, out: HighBitsWriter):
         self.out = out
@@ -115,6 +135,18 @@ class Writer:
         self.out.put(*code.words[symbol])
         return symbol
 
+    def low_parts(self, n: int, highs: list[int], values: list[int], places: list[int], dropped: int = 0) -> list[int]:
+        out, held, bits, mask = [0] * len(highs), 0, 0, (1 << n) - 1
+        for k in places:
+            size, high = abs(values[k]) >> dropped, highs[k]
+            held, bits = held << n | size & mask, bits + n
+            if not high and size:
+                held, bits = held << 1 | (values[k] < 0), bits + 1
+            whole = (abs(high) << n) + (size & mask) << dropped
+            out[k] = -whole if (high or values[k]) < 0 else whole
+        self.out.put(held, bits)
+        return out
+
 
 class Adaptive:
     """One of several codes, changed at set places by what the symbols since the last change spoke for."""
@@ -270,15 +302,16 @@ def distance(port, left: int, run: int) -> int:
         return 1
     if left < 5:
         return 1 + port.word(PICK[left], run - 1)
-    least, extra = RUNS[0 if left > 10 else 1 if left > 6 else 2]
-    s = port.word(TABLES[5][0], sum(run >= v for v in least) - 1)
+    group = 0 if left > 10 else 1 if left > 6 else 2
+    least, extra = RUNS[group]
+    s = port.word(TABLES[5][0], RUN_SYMBOLS[group][run])
     return least[s] + port.field(extra[s], run - least[s])
 
 
 def magnitude(port, code: Adaptive, size: int) -> int:
     """A magnitude of at least two."""
     least, extra = LEVELS
-    s = code.word(port, 6 if size >= 18 else max(sum(size >= v for v in least) - 1, 0))
+    s = code.word(port, 6 if size >= 18 else LEVEL_SYMBOLS[size])
     if s < 6:
         return least[s] + port.field(extra[s], size - least[s])
     width = (size - 2).bit_length() - 1
@@ -386,7 +419,7 @@ class Macroblocks:
                 highs = [0] + [(-1 if v < 0 else 1) * (abs(v) >> n) for v in given[c][1:]]
             else:
                 highs = self.low_scan.spread(found)
-            out.append([0] + [low_part(port, n, highs[k], given[c][k] if given else 0) if n else highs[k] for k in range(1, 16)])
+            out.append(port.low_parts(n, highs, given[c] if given else highs, LOW_PLACES) if n else [0, *highs[1:]])
         if joint:
             found = self.low.code(port, True, pairs[1] if given else None, CHROMA_START[self.chroma]) if which & 2 else []
             counts[1] += len(found)
@@ -465,11 +498,7 @@ class Macroblocks:
                     found = self.high.code(port, c > 0, order.pairs(values, n) if given else None)
                     counts[c > 0] += len(found)
                     highs = order.spread(found) if not given else [(-1 if v < 0 else 1) * (abs(v) >> n) for v in values]
-                whole = [v << n if v >= 0 else -(-v << n) for v in highs]
-                if rest:
-                    for k in STREAM_ORDER[1:]:
-                        whole[k] = low_part(flex, rest, highs[k], values[k], lost)
-                blocks.append(whole)
+                blocks.append(flex.low_parts(rest, highs, values, STREAM_ORDER[1:], lost) if rest else [v << n if v >= 0 else -(-v << n) for v in highs])
             out.append(blocks)
         self.high_bits.count(*counts)
         if settle:
