@@ -100,3 +100,39 @@ def test_sketches_rule_out_nothing_similar():
             apart = len(np.setxor1d(a, b))
             bits = [np.frombuffer(jaccard.sketch(x), dtype=np.uint64) for x in (a, b)]
             assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= apart
+
+
+def test_lists_lose_only_sets_that_can_go_on_with_none():
+    rng = np.random.default_rng(4)
+    every = np.zeros(4000, dtype=jaccard._ENTRY)
+    every["token"], every["id"], every["n"] = rng.integers(0, 120, 4000), np.arange(4000), rng.integers(1, 300, 4000)
+    every["at"] = rng.random(4000) * (every["n"] // 5 + 1)
+    every = every[np.lexsort((every["id"], every["n"], every["token"]))]
+    kept = set(jaccard._useful(every)["id"].tolist())
+    assert len(kept) < 4000
+    for token in range(120):
+        held = every[every["token"] == token]
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(held)), np.arange(len(held))))
+        good = jaccard._possible(held[a], held[b])
+        assert set(held["id"][a[good]].tolist()) <= kept
+    assert not len(jaccard._useful(every[:0])) and not len(jaccard._useful(every[:1]))
+
+
+def test_crowded_lists_carry_no_set_without_a_partner(spark, monkeypatch):
+    """Texts of a hundred common shingles and fewer own ones than a prefix holds: common lists are long, but no two sets in them can be similar."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(104))
+    texts = [" ".join([passage, *(f"w{rng.randint(0, 10**9)}" for _ in range(14 + k % 6))]) for k in range(40)]
+    texts += [texts[20] + " more", texts[30] + " more"]
+    carried, stage = [], jaccard.staged
+
+    def counted(df, label):
+        out = stage(df, label)
+        if label == "lists":
+            carried.append(out.where("b is null").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    links = jaccard.similar_links(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert sorted((r.a, r.b) for r in links.distinct().collect()) == [(20, 40), (30, 41)]
+    assert carried == [0]
