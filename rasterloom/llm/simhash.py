@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged, text_bytes, trim
 from .components import connected_components
-from .jaccard import similar_links
+from .jaccard import SHINGLE, similar_links
 from .quality import SPACE
 from .winnow import unused_name
 
@@ -161,11 +161,26 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``texts(id long, text)``, ``a`` the smaller id, that join the ids whose fingerprints link.
+
+    A fingerprint's ids are paired with its smallest, linked fingerprints by their smallest ids.
+    """
+    fps = staged(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), SHINGLE).distinct(), "fingerprints")
+    lows = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "lows")
+    within = fps.join(lows.where("n > 1"), "fp").where("low <> doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    ends = [lows.select(F.col("fp").alias(k), F.col("low").alias(f"low_{k}")) for k in "ab"]
+    between = fingerprint_links(lows.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return within.union(between.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))).distinct()
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each near-duplicate group, with all its columns.
 
     Texts link if their sets of five-word shingles have a Jaccard similarity of
-    0.8 or more; all texts without words link. Rows that repeat a doc_id are
+    0.8 or more; all texts without words link. Pairs come from the covering masks
+    of five-word fingerprints and, for the similar ones that these do not reach,
+    from the exact join; both are verified. Rows that repeat a doc_id are
     documents side by side if their texts differ; of near-duplicates among them
     the one with the smallest hash stays. Null doc_ids are kept: nothing names them.
     """
@@ -180,7 +195,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     clashes = nodes.where("clash").select("id")
     clash = clashes.limit(1).count() > 0
     texts = named.select(F.col(id_).alias("id"), text.alias("text"))
-    links = similar_links(texts.join(clashes, "id", "left_anti") if clash else texts)
+    texts = texts.join(clashes, "id", "left_anti") if clash else texts
+    links = similar_links(texts, fingerprint_pairs(texts))
     roots = connected_components(links).withColumnRenamed("node", "id")
     rooted = staged(nodes.where("not clash").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), F.struct("low", "id").alias("first")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.low").alias(low), F.col("first.id").alias(id_))

@@ -136,3 +136,20 @@ def test_crowded_lists_carry_no_set_without_a_partner(spark, monkeypatch):
     links = jaccard.similar_links(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
     assert sorted((r.a, r.b) for r in links.distinct().collect()) == [(20, 40), (30, 41)]
     assert carried == [0]
+
+
+def test_representatives_try_the_pairs_of_fingerprints(spark, texts, monkeypatch):
+    """The covering masks give pairs that join all fingerprints within the radius, and the stage verifies them."""
+    given, links = [], jaccard.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda texts, *tried: given.append((texts.collect(), *(t.collect() for t in tried))) or links(texts, *tried))
+    rows = [*enumerate([*texts, f"{texts[60]} ", texts[40].upper()])]
+    simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    (held, tried), = given
+    held = sorted({(r.id, r.text) for r in held})
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in held]
+    expect = brute_groups(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert len(set(expect)) < len(expect)
+    assert all(r.a < r.b for r in tried)
+    pairs = {(r.a, r.b) for r in tried}
+    ids = [i for i, _ in held]
+    assert brute_groups(ids, lambda a, b: (min(a, b), max(a, b)) in pairs) == expect
